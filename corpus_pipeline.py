@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomry.llm import exact_dedup
+from fathomry.llm import exact_dedup, minhash, quality
 from fathomry.llm.runtime import Scratch, table
 
-STAGES = [("exact dedup", exact_dedup.stage)]
+STAGES = [
+    ("quality rules", quality.stage),
+    ("exact dedup", exact_dedup.stage),
+    ("minhash near-dedup", minhash.stage),
+]
 
 ORACLE_SQL = None
 

@@ -18,7 +18,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_ROWS, Scratch, table
+from .runtime import BROADCAST_ROWS, Scratch, identity, source_folder, table, without
 
 _CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -45,23 +45,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def source_folder(docs: DataFrame, scratch: Scratch) -> tuple[str, bool]:
-    """The path of an unchanged Parquet scan; anything else is written first."""
-    plan = docs._jdf.queryExecution().analyzed()
-    files = docs.inputFiles() if plan.getClass().getSimpleName() == "LogicalRelation" else []
-    folders = {f.rsplit("/", 1)[0] for f in files}
-    if len(files) == 1:
-        return files[0], False
-    if len(folders) == 1:
-        return folders.pop(), False
-    return scratch.write(docs.select("doc_id", "text"), "docs")._scratch_path, True
-
-
-def _order() -> Column:
-    """Smallest doc_id first, nulls last, then the locator."""
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-
-
 def stream_state(spark: SparkSession, path: str, digest, scratch: Scratch, max_files: int | None = None) -> DataFrame:
     """Run the stream over all files below path; one row for each digest that was hit: digest, n, keep."""
     schema = spark.read.parquet(path).select("doc_id", "text").schema
@@ -69,7 +52,8 @@ def stream_state(spark: SparkSession, path: str, digest, scratch: Scratch, max_f
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     # A stream reads folders or globs; a single file is named by a glob that matches it alone.
-    state = reader.parquet(re.sub(r"(.)$", r"[\1]", path) if path.endswith(".parquet") else path).where("text is not null").select(digest(F.col("text")).alias("digest"), _order().alias("keep")).groupBy("digest").agg(F.count("*").alias("n"), F.min("keep").alias("keep"))
+    source = reader.parquet(re.sub(r"(.)$", r"[\1]", path) if path.endswith(".parquet") else path)
+    state = source.where("text is not null").select(digest(F.col("text")).alias("digest"), identity(source).alias("keep")).groupBy("digest").agg(F.count("*").alias("n"), F.min("keep").alias("keep"))
     hits = scratch.path("hits")
     with _settings(spark):
         query = (
@@ -90,10 +74,11 @@ def stream_state(spark: SparkSession, path: str, digest, scratch: Scratch, max_f
 def duplicates(spark: SparkSession, docs: DataFrame, digest=sha256, max_files: int | None = None) -> tuple[DataFrame, str]:
     """One row for each document that has an earlier copy: doc_id, file, row, duplicate_of, n_copies, digest; and the path read."""
     scratch = Scratch(spark)
-    path, _ = source_folder(docs, scratch)
+    path = source_folder(docs, scratch)
     hits = scratch.write(stream_state(spark, path, digest, scratch, max_files), "keys")
     n = hits.count()
-    located = spark.read.parquet(path).where("text is not null").select("doc_id", "text", _order().alias("me"), digest(F.col("text")).alias("digest"))
+    scan = spark.read.parquet(path)
+    located = scan.where("text is not null").select("doc_id", "text", identity(scan).alias("me"), digest(F.col("text")).alias("digest"))
     found = scratch.write(located.join(F.broadcast(hits) if n <= BROADCAST_ROWS else hits, "digest"), "found")
     first = found.where("me = keep").select("digest", F.col("text").alias("kept_text"))
     checked = scratch.write(found.join(first, "digest").select("digest", "n", "me", "keep", F.expr("text = kept_text").alias("same")), "checked")
@@ -126,8 +111,4 @@ where doc_id <> keep
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their exact copies."""
     out, path = duplicates(spark, docs)
-    gone = Scratch(spark).write(out.select("file", "row"), "gone")
-    n = gone.count()
-    located = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file__"), F.col("_metadata.row_index").alias("row__"))
-    gone = gone.toDF("file__", "row__")
-    return located.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, ["file__", "row__"], "left_anti").select(*docs.columns)
+    return without(spark, docs, path, out.select("file", "row"), Scratch(spark))

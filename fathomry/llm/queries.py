@@ -1,9 +1,11 @@
 """Queries of the training-data operators over their whole tables."""
 
-from . import exact_dedup, sharding, url_filter
+from . import exact_dedup, minhash, quality, sharding, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }

@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A broadcast side may hold this many rows at most; beyond it the plain (shuffled) join is used.
@@ -85,3 +85,34 @@ def spread(df: DataFrame) -> DataFrame:
 def semi(df: DataFrame, keys: DataFrame, on: list[str], n_keys: int, how: str = "left_semi") -> DataFrame:
     """Join with a written key table: broadcast while the counted rows are few, shuffled beyond that."""
     return df.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys, on, how)
+
+
+def source_folder(docs: DataFrame, scratch: Scratch) -> str:
+    """The path of an unchanged Parquet scan; anything else is written first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    files = docs.inputFiles() if plan.getClass().getSimpleName() == "LogicalRelation" else []
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    if len(files) == 1:
+        return files[0]
+    if len(folders) == 1:
+        return folders.pop()
+    return scratch.write(docs, "docs")._scratch_path
+
+
+def identity(scan: DataFrame) -> Column:
+    """What tells a row of a scan from all others, ordered by doc_id, nulls last, then by file and row."""
+    at = scan.metadataColumn("_metadata")
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), at["file_path"].alias("file"), at["row_index"].alias("row"))
+
+
+IDENTITY = "struct<no_id:boolean,doc_id:long,file:string,row:long>"
+
+
+def without(spark: SparkSession, docs: DataFrame, path: str, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of the scan of path whose (file, row) isn't in gone, with the columns of docs."""
+    names = [f"{c}_{uuid.uuid4().hex}" for c in ("file", "row")]
+    gone = scratch.write(gone.toDF(*names), "gone")
+    scan = spark.read.parquet(path)
+    at = scan.metadataColumn("_metadata")
+    located = scan.select("*", at["file_path"].alias(names[0]), at["row_index"].alias(names[1]))
+    return semi(located, gone, names, gone.count(), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
