@@ -78,21 +78,26 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word, eight bytes at a time."""
-        raw = np.concatenate([self.raw, np.zeros(8, np.uint8)])
-        view = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
-        left = self.end - self.start
-        h = left.astype(U) * _C1
-        h = (h ^ (view[self.start] & _MASK[np.minimum(left, 8)])) * _C2
-        h ^= h >> U(29)
-        at = np.flatnonzero(left > 8)
-        pos, left = self.start[at] + 8, left[at] - 8
-        while len(at):
-            x = (h[at] ^ (view[pos] & _MASK[np.minimum(left, 8)])) * _C2
-            h[at] = x ^ (x >> U(29))
-            more = left > 8
-            at, pos, left = at[more], pos[more] + 8, left[more] - 8
-        return mix(h)
+        """64-bit hash of each word."""
+        return hash_ranges(self.raw, self.start, self.end)
+
+
+def hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes from each start to its end, eight bytes at a time."""
+    raw = np.concatenate([raw, np.zeros(8, np.uint8)])
+    view = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    left = end - start
+    h = left.astype(U) * _C1
+    h = (h ^ (view[start] & _MASK[np.minimum(left, 8)])) * _C2
+    h ^= h >> U(29)
+    at = np.flatnonzero(left > 8)
+    pos, left = start[at] + 8, left[at] - 8
+    while len(at):
+        x = (h[at] ^ (view[pos] & _MASK[np.minimum(left, 8)])) * _C2
+        h[at] = x ^ (x >> U(29))
+        more = left > 8
+        at, pos, left = at[more], pos[more] + 8, left[more] - 8
+    return mix(h)
 
 
 def shingles(h: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
