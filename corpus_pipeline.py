@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomry.llm import exact_dedup, minhash, quality
+from fathomry.llm import exact_dedup, minhash, packing, quality, secret_scan
 from fathomry.llm.runtime import Scratch, table
 
 STAGES = [
     ("quality rules", quality.stage),
     ("exact dedup", exact_dedup.stage),
     ("minhash near-dedup", minhash.stage),
+    ("secret scan", secret_scan.stage),
+    ("related packing", packing.stage),
 ]
 
 ORACLE_SQL = None
