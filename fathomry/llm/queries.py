@@ -1,9 +1,10 @@
 """Queries of the training-data operators over their whole tables."""
 
-from . import exact_dedup, minhash, packing, pieces, quality, secret_scan, sharding, toxicity, url_filter
+from . import exact_dedup, minhash, packing, pieces, quality, secret_scan, sharding, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_related_packing": packing.op3_related_packing,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
