@@ -1,4 +1,6 @@
 """All queries of the engine's own operators by name, and the SQL that states the same result."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import probe_queries
+
+QUERIES: dict = probe_queries.QUERIES
+SQL: dict[str, str] = probe_queries.SQL
