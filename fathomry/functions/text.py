@@ -24,6 +24,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _transform(at: Column, words: Column, n: int) -> Column:
+    return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
 def ngrams(words: Column, low: int = 1, high: int = 1) -> Column:
     """All n-grams from low to high words, joined by one space."""
     if not 1 <= low <= high:
@@ -31,7 +35,7 @@ def ngrams(words: Column, low: int = 1, high: int = 1) -> Column:
     parts = []
     for n in range(low, high + 1):
         at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        parts.append(words if n == 1 else F.transform(at, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
+        parts.append(words if n == 1 else _transform(at, words, n))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
