@@ -5,8 +5,8 @@ collections, so m collections give m(m-1)/2 tables: 28 collections of 3 stand fo
 hash functions instead of 2,268. A collection's value that no other document has can be in no pair that matches
 and is left out before pairs are formed, which loses nothing.
 
-Candidates are the members of a bucket against its leaders (the smallest rows), round by round: members that match
-none of the leaders go on, until no bucket has two left. Every candidate is verified by the Jaccard similarity
+Candidates are the members of a bucket against its leaders (the smallest rows), round by round, four times as many
+leaders in each: members that match none of the leaders go on, until no bucket has two left. Every candidate is verified by the Jaccard similarity
 of the two whole sets of word 3-shingles; groups are the connected components of verified pairs.
 
 Texts are compared in lower case, by their words (letters, digits, underscore). A text without words, empty or null,
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .components import components
 from .kernel import Words, list_array, segmented_min, shingles, slices
-from .runtime import IDENTITY, Scratch, identity, semi, ship, source_folder, spread, table, without
+from .runtime import BROADCAST_ROWS, IDENTITY, Scratch, identity, semi, ship, source_folder, spread, table, without
 
 SHINGLE, THRESHOLD = 3, 0.5
 COLLECTIONS, WIDTH = 28, 3
@@ -108,20 +108,26 @@ def candidates(contents: DataFrame, scratch: Scratch) -> DataFrame:
     whole = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("s"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("n > 1")
     whole = whole.groupBy("n", "s", "lo", "hi").agg(F.min("bucket").alias("bucket"))
     left = scratch.write(keys.join(whole.select("bucket"), "bucket"), "members")
-    found = []
+    scratch.drop(keys)
+    found, leaders = [], LEADERS
     while True:
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("rid"))
         ranked = left.withColumn("r", rank)
-        pairs = ranked.where(F.col("r") <= LEADERS).select("bucket", F.col("rid").alias("a"), F.col("r").alias("ra")).join(ranked.select("bucket", F.col("rid").alias("b"), "r"), "bucket").where("ra < r")
-        pairs = scratch.write(pairs.select("bucket", "a", "b"), "pairs")
-        tried = pairs.select("a", "b").distinct()
+        first = ranked.where(F.col("r") <= leaders)
+        pairs = scratch.write(first.select("bucket", F.col("rid").alias("a"), F.col("r").alias("ra")).join(ranked.select("bucket", F.col("rid").alias("b"), "r"), "bucket").where("ra < r").select("bucket", "a", "b"), "pairs")
+        tried = scratch.write(pairs.select("a", "b").distinct(), "tried")
+        few = tried.count() <= BROADCAST_ROWS // 20  # a row carries a signature
         agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         side = lambda c: contents.select(F.col("rid").alias(c), F.col("sig").alias(f"sig_{c}"))
-        close = scratch.write(tried.join(side("a"), "a").join(side("b"), "b").where(agree >= ESTIMATE * COLLECTIONS * WIDTH).select("a", "b"), "close")
+        hint = F.broadcast if few else lambda df: df
+        signed = side("b").join(hint(side("a").join(hint(tried), "a")), "b")
+        close = scratch.write(signed.where(agree >= ESTIMATE * COLLECTIONS * WIDTH).select("a", "b"), "close")
         found.append(close)
-        matched = pairs.join(close, ["a", "b"]).select("bucket", F.col("b").alias("rid")).distinct()
-        leaders = ranked.where(F.col("r") <= LEADERS).select("bucket", "rid")
-        left = scratch.write(left.join(matched, ["bucket", "rid"], "left_anti").join(leaders, ["bucket", "rid"], "left_anti"), "left")
+        matched = pairs.join(close, ["a", "b"]).select("bucket", F.col("b").alias("rid")).union(first.select("bucket", "rid"))
+        rest = scratch.write(left.join(matched, ["bucket", "rid"], "left_anti"), "left")
+        for done in (left, pairs, tried):
+            scratch.drop(done)
+        left, leaders = rest, leaders * 4
         if not left.groupBy("bucket").count().where("count > 1").limit(1).count():
             break
     out = found[0]
