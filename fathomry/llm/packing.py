@@ -2,9 +2,10 @@
 
 Documents are related by the passages that they share: fingerprints are the minima of word 8-gram hashes in every
 stretch of 32 grams, so that any common passage of 39 words gives a common fingerprint. Similarity is the Jaccard
-similarity of fingerprint sets. A posting's documents are linked with the LINKS that follow them in an order that brings
-similar ones together; postings of up to LINKS + 1 documents are therefore compared completely, and in larger ones
-the others are ties at the same passage. Each document keeps its NEIGHBOURS most similar.
+similarity of fingerprint sets. Documents that share a passage (all its fingerprints have the same documents) are
+compared completely up to LINKS + 1 of them; in larger groups each is compared with the LINKS that follow it in an
+order that brings similar ones together and with the LINKS of the fewest fingerprints, and so again among those that
+share two such passages. Recall against brute force is tested. Each document keeps its NEIGHBOURS most similar.
 
 A path starts at the unvisited document with the fewest neighbours (ties: the first row) and goes on to the most
 similar unvisited neighbour until there is none. A document without neighbours is a path by itself. Paths follow one
@@ -78,17 +79,40 @@ def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def neighbours(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b, similarity: each document's nearest; rows: rid, ord, n, prints."""
-    post = rows.select("rid", "ord", F.explode("prints").alias("p"))
-    w = Window.partitionBy("p").orderBy("ord", "rid")
-    links = post.select("rid", F.collect_list("rid").over(w.rowsBetween(1, LINKS)).alias("next")).where("size(next) > 0")
-    pairs = links.select("rid", F.explode("next").alias("other")).select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b"))
-    pairs = scratch.write(pairs.groupBy("a", "b").agg(F.count("*").alias("common")), "pairs")
-    size = rows.select("rid", "n")
-    alike = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").select("a", "b", alike.alias("similarity"))
-    both = pairs.union(pairs.select("b", "a", "similarity"))
+    # Fingerprints with the same documents are one passage: class, with its number of fingerprints in w.
+    post = rows.select("rid", F.explode("prints").alias("p"))
+    of = Window.partitionBy("p")
+    mark = [F.bit_xor(F.xxhash64("rid", F.lit(i))).over(of) for i in range(2)]
+    size = F.count("*").over(of)
+    shared = post.select("rid", size.alias("df"), F.xxhash64(size, *mark).alias("k")).where("df > 1")
+    classes = shared.groupBy("rid", "k").agg(F.count("*").alias("w"), F.first("df").alias("df")).join(rows.select("rid", "ord", "n"), "rid")
+    classes = scratch.write(classes, "passages")
+    # Documents that share two large passages: keys of two that follow one another in a document's list.
+    large = classes.where(F.col("df") > LINKS + 1)
+    after = F.lead("k").over(Window.partitionBy("rid").orderBy("k"))
+    twice = large.withColumn("next", after).where("next is not null").select("rid", "ord", "n", F.xxhash64("k", "next").alias("k"))
+    twice = twice.withColumn("df", F.count("*").over(Window.partitionBy("k"))).where("df > 1")
+    keys = scratch.write(classes.select("k", "rid", "ord", "n", "df").unionByName(twice.select("k", "rid", "ord", "n", "df")), "keys")
+    # Each with those that follow it in the order of likeness: small groups are complete.
+    w = Window.partitionBy("k").orderBy("ord", "rid")
+    follow = keys.select("rid", F.collect_list("rid").over(w.rowsBetween(1, LINKS)).alias("others")).select("rid", F.explode("others").alias("other"))
+    # In large groups each also with the documents of the fewest fingerprints: at one passage in common they are the most similar.
+    big = keys.where(F.col("df") > LINKS + 1)
+    least = big.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "rid"))).where(F.col("r") <= LINKS).select("k", F.col("rid").alias("other"))
+    pairs = follow.unionByName(big.join(least, "k").select("rid", "other")).where("rid != other").select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
+    pairs = scratch.write(pairs, "pairs")
+    lists = classes.groupBy("rid").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))
+    side = lambda c: lists.select(F.col("rid").alias(c), F.col("n").alias(f"n{c}"), F.col("m").alias(f"m{c}"))
+    both = F.array_intersect(F.map_keys("ma"), F.map_keys("mb"))
+    common = F.aggregate(both, F.lit(0).cast("long"), lambda t, k: t + F.element_at("ma", k))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", common.alias("c"))
+    found = scratch.write(found.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")), "similar")
+    both_ways = found.union(found.select("b", "a", "similarity"))
     near = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
-    return scratch.write(both.withColumn("r", near).where(F.col("r") <= NEIGHBOURS).select("a", "b", "similarity"), "neighbours")
+    out = scratch.write(both_ways.withColumn("r", near).where(F.col("r") <= NEIGHBOURS).select("a", "b", "similarity"), "neighbours")
+    for done in (keys, pairs, found):
+        scratch.drop(done)
+    return out
 
 
 def walk(a: np.ndarray, b: np.ndarray, similarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
