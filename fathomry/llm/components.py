@@ -1,4 +1,4 @@
-"""Connected components of a graph of written edges."""
+"""Connected components of a graph of written edges, by contraction."""
 
 from __future__ import annotations
 
@@ -9,19 +9,31 @@ from .runtime import Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """rid, component (its smallest node) for every node of edges (a, b).
+    """rid, component (one of its nodes) for every node of edges (a, b).
 
-    Each round takes the smallest label among the neighbours and then jumps to that label's own label, so that
-    the number of rounds is about the logarithm of the longest chain.
+    In each round a node goes to the first of itself and its neighbours in an order drawn for the round, and from
+    there once more; the edges between what the nodes went to are the next round's graph. Whatever the numbering
+    of the nodes, chains included, a round leaves a third of them or so, so that all rounds together cost little more
+    than the first.
     """
-    both = scratch.write(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("rid", "other"), "edges")
-    label = scratch.write(both.groupBy("rid").agg(F.least(F.col("rid"), F.min("other")).alias("component")), "labels")
+    cur = scratch.write(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    loops = edges.where("a = b").select(F.col("a").alias("rid")).distinct()
+    maps: list[DataFrame] = []
     while True:
-        near = both.join(label.select(F.col("rid").alias("other"), "component"), "other").groupBy("rid").agg(F.min("component").alias("near"))
-        step = label.join(near, "rid").select("rid", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = label.select(F.col("rid").alias("component"), F.col("component").alias("next"))
-        new = scratch.write(step.join(jump, "component", "left").select("rid", "old", F.least("component", "next").alias("component")), "labels")
-        changed = new.where("old != component").limit(1).count()
-        label = new.select("rid", "component")
-        if not changed:
-            return label
+        turn = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("h"), F.col(c).alias("rid"))
+        both = cur.select("a", "b").union(cur.select("b", "a"))
+        best = both.groupBy("a").agg(F.min(turn("b")).alias("near")).select(F.col("a").alias("rid"), F.least("near", turn("a"))["rid"].alias("up"))
+        best = scratch.write(best, "near")
+        step = scratch.write(best.join(best.select(F.col("rid").alias("up"), F.col("up").alias("top")), "up").select("rid", F.col("top").alias("up")), "map")
+        scratch.drop(best)
+        maps.append(step)
+        ends = cur.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x != y")
+        rest = scratch.write(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        scratch.drop(cur)
+        cur = rest
+        if not cur.limit(1).count():
+            break
+    label = maps[-1].toDF("rid", "component")
+    for step in reversed(maps[:-1]):
+        label = scratch.write(step.join(label.toDF("up", "top"), "up", "left").select("rid", F.coalesce("top", "up").alias("component")), "labels")
+    return label.unionByName(loops.join(label, "rid", "left_anti").withColumn("component", F.col("rid")))
