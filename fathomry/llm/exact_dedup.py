@@ -18,7 +18,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_ROWS, Scratch, identity, source_folder, table, without
+from .runtime import Scratch, identity, semi, source_folder, table, without
 
 _CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -76,10 +76,9 @@ def duplicates(spark: SparkSession, docs: DataFrame, digest=sha256, max_files: i
     scratch = Scratch(spark)
     path = source_folder(docs, scratch)
     hits = scratch.write(stream_state(spark, path, digest, scratch, max_files), "keys")
-    n = hits.count()
     scan = spark.read.parquet(path)
     located = scan.where("text is not null").select("doc_id", "text", identity(scan).alias("me"), digest(F.col("text")).alias("digest"))
-    found = scratch.write(located.join(F.broadcast(hits) if n <= BROADCAST_ROWS else hits, "digest"), "found")
+    found = scratch.write(semi(located, hits, ["digest"], "inner"), "found")
     first = found.where("me = keep").select("digest", F.col("text").alias("kept_text"))
     checked = scratch.write(found.join(first, "digest").select("digest", "n", "me", "keep", F.expr("text = kept_text").alias("same")), "checked")
     sound = checked.where("same and me != keep").select("digest", "n", "me", "keep")

@@ -148,7 +148,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str, Scratc
     contents = scratch.write(contents, "contents")
     pairs = candidates(contents.select("rid", "sig"), scratch)
     involved = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(contents.select("rid", "me"), "rid").select("rid", "me"), "involved")
-    texts = semi(scan.select("text", "me"), involved, ["me"], involved.count(), "inner").select("text", "rid")
+    texts = semi(scan.select("text", "me"), involved, ["me"], "inner").select("text", "rid")
     words = scratch.write(texts.mapInArrow(sets, "rid long, words binary"), "sets")
     side = lambda c: words.select(F.col("rid").alias(c), F.col("words").alias(f"words_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "words_a", "words_b")

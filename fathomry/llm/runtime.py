@@ -13,8 +13,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A broadcast side may hold this many rows at most; beyond it the plain (shuffled) join is used.
-BROADCAST_ROWS = 1_000_000
+#: A broadcast side may hold this many rows, in files of this many bytes, at most; beyond it the plain (shuffled) join is used.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20
 
 _own_dir: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -82,9 +83,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def semi(df: DataFrame, keys: DataFrame, on: list[str], n_keys: int, how: str = "left_semi") -> DataFrame:
-    """Join with a written key table: broadcast while the counted rows are few, shuffled beyond that."""
-    return df.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys, on, how)
+def small(spark: SparkSession, written: DataFrame) -> bool:
+    """Whether a written table is small enough to be broadcast: its rows are counted, its files' bytes summed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(written._scratch_path)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return size <= BROADCAST_BYTES and written.count() <= BROADCAST_ROWS
+
+
+def semi(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """Join with a written key table: broadcast while that is small, shuffled beyond that."""
+    return df.join(F.broadcast(keys) if small(df.sparkSession, keys) else keys, on, how)
 
 
 def source_folder(docs: DataFrame, scratch: Scratch) -> str:
@@ -115,4 +123,4 @@ def without(spark: SparkSession, docs: DataFrame, path: str, gone: DataFrame, sc
     scan = spark.read.parquet(path)
     at = scan.metadataColumn("_metadata")
     located = scan.select("*", at["file_path"].alias(names[0]), at["row_index"].alias(names[1]))
-    return semi(located, gone, names, gone.count(), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return semi(located, gone, names, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

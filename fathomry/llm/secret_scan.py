@@ -133,7 +133,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     at = scan.metadataColumn("_metadata")
     whole = F.struct(*[scan[f"`{c}`"] for c in docs.columns]).alias("doc")
     located = scan.select(whole, at["file_path"].alias("file"), at["row_index"].alias("row"))
-    joined = semi(located, spans, ["file", "row"], spans.count(), "left")
+    joined = semi(located, spans, ["file", "row"], "left")
     text, at = F.col("doc.text"), F.col("spans")
     begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(at, i)["stop"])
     piece = F.transform(at, lambda s, i: F.concat(F.substring(text, begin(i) + 1, s["start"] - begin(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")))

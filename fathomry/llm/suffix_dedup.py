@@ -270,7 +270,7 @@ def passages(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> DataFrame:
     shared = single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     of = single.join(shared, "anchor").groupBy("rid").agg(F.collect_list("anchor").alias("shared"), F.filter(F.collect_list(F.when(F.col("n") > hot, F.col("anchor"))), lambda x: x.isNotNull()).alias("hot"))
     wanted = scratch.write(of.join(rows.select("rid", "me"), "rid").select("rid", "me", "shared", "hot"), "shared")
-    texts = semi(scan, wanted, ["me"], wanted.count(), "inner").select("text", "rid", "shared", "hot")
+    texts = semi(scan, wanted, ["me"], "inner").select("text", "rid", "shared", "hot")
     found = texts.mapInArrow(segments, "rid long, anchor long, start int, starts int, words binary, windows array<long>")
     found = scratch.write(found, "segments")
     cold = found.where("size(windows) = 0").select("rid", "anchor", "start", "starts", "words").repartition("anchor").sortWithinPartitions("anchor")
