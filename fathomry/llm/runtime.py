@@ -18,6 +18,7 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
 
 _own_dir: dict[str, str] = {}
+_roots: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
 
@@ -38,11 +39,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@atexit.register
+def _clean() -> None:
+    """Remove what this application wrote in the shared folder, if it ends with its session still there."""
+    for spark, root in _roots:
+        try:
+            drop_path(spark, root)
+        except Exception:  # the session was stopped before
+            return
+
+
 class Scratch:
     """Tables written in the shared folder: they cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, shared_dir(spark), 0
+        _roots.append((spark, self.root))
 
     def path(self, name: str = "t") -> str:
         self.n += 1
