@@ -4,7 +4,8 @@ Four statistics of each whole text, shrunk towards a usual value so that short t
 transformed: logit of the share of symbols, logit of the share of capitals, logarithm of the mean word length, square
 root of the share of repeated word 4-grams. For each group a fast MCD: medians and median deviations start it,
 concentration steps keep the 75 % of rows with the smallest distances, and a reweighting step ends it. A text is
-rejected if its squared Mahalanobis distance exceeds the chi-square quantile at 1 - 1e-8.
+rejected if its squared Mahalanobis distance exceeds the chi-square quantile at 1 - 1e-11: so far out that among a
+hundred thousand million Gaussian rows one is expected, since what is rejected is lost.
 
 All steps run over all rows: a step is one aggregation of moments by group and by a fine bin of the distance, so the
 rows never move, the subset's border is the bin's edge, and the result doesn't depend on partitioning. A variance
@@ -31,8 +32,8 @@ from .runtime import IDENTITY, Scratch, identity, ship, source_folder, spread, t
 STATS = ["symbols", "capitals", "word_length", "repetition"]
 FLOOR = np.array([0.05, 0.05, 0.02, 0.05])
 SUBSET, STEPS, MIN_GROUP = 0.75, 6, 100
-#: Quantiles of the chi-square distribution with four degrees of freedom: median, 0.975, 1 - 1e-8.
-MEDIAN4, REWEIGHT4, CUT4 = 3.3567, 11.1433, 43.06
+#: Quantiles of the chi-square distribution with four degrees of freedom: median, 0.975, 1 - 1e-11.
+MEDIAN4, REWEIGHT4, CUT4 = 3.3567, 11.1433, 57.45
 _CAPITAL = np.array([65 <= i < 91 for i in range(256)])
 _P = len(STATS)
 _BIN = 32.0
