@@ -14,10 +14,16 @@ SPLIT = r"[^\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer partitions than the cluster has cores: text expressions are what costs. Larger ones stay."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+
+
 def length_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """char_count, word_count and characters (white space included) for each word."""
     chars, words = F.char_length(text).cast("long"), F.size(F.regexp_extract_all(F.col(text), F.lit(SPLIT), F.lit(0))).cast("long")
-    return docs.withColumns({"char_count": chars, "word_count": words}).withColumn("avg_word_length", F.col("char_count") / F.greatest("word_count", F.lit(1)).cast("double"))
+    return spread(docs).withColumns({"char_count": chars, "word_count": words}).withColumn("avg_word_length", F.col("char_count") / F.greatest("word_count", F.lit(1)).cast("double"))
 
 
 def tokens(text: Column) -> Column:
@@ -40,11 +46,8 @@ def ngrams(words: Column, low: int = 1, high: int = 1) -> Column:
 
 
 def term_counts(docs: DataFrame, low: int = 1, high: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, tf. A scan with few splits is spread first: tokenising is what costs here."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    docs = docs.select(key, text)
-    if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        docs = docs.repartition(cores)
+    """key, term, tf."""
+    docs = spread(docs.select(key, text))
     return docs.select(key, F.explode(ngrams(tokens(F.col(text)), low, high)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 

@@ -28,18 +28,18 @@ class LayerScaler:
         self.strategy, self.params = strategy, None
 
     def fit(self, rows: DataFrame) -> LayerScaler:
-        widths = rows.groupBy("layer").agg(F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi")).where("lo != hi")
-        if widths.limit(1).count():
-            raise ValueError("vectors of a layer differ in width")
         long = rows.select("layer", F.posexplode("vec").alias("neuron", "v"))
-        by = ["layer", "neuron"] if self.strategy == "per_neuron" else ["layer"]
         sd = F.stddev_pop("v")
-        stats = long.groupBy(*by).agg(F.avg("v").alias("mean"), F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias("std"))
+        stats = [F.avg("v").alias("mean"), F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias("std")]
+        refuse = F.raise_error(F.lit("vectors of a layer differ in width")).cast("array<double>")
+        # Widths are checked in the same aggregation; vectors that differ raise when the parameters are used.
         if self.strategy == "per_neuron":
-            pairs = F.array_sort(F.collect_list(F.struct("neuron", "mean", "std")))
-            stats = stats.groupBy("layer").agg(pairs.alias("s")).select("layer", F.transform("s", lambda x: x["mean"]).alias("means"), F.transform("s", lambda x: x["std"]).alias("stds"))
+            by = long.groupBy("layer", "neuron").agg(*stats, F.count("*").alias("n"))
+            by = by.groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("neuron", "mean", "std"))).alias("s"), (F.min("n") == F.max("n")).alias("even"))
+            stats = by.select("layer", F.when(F.col("even"), F.transform("s", lambda x: x["mean"])).otherwise(refuse).alias("means"), F.transform("s", lambda x: x["std"]).alias("stds"))
         else:
-            stats = stats.select("layer", F.array("mean").alias("means"), F.array("std").alias("stds"))
+            even = (F.count_if(F.col("neuron") == 0) * (F.max("neuron") + 1) == F.count("*")).alias("even")
+            stats = long.groupBy("layer").agg(*stats, even).select("layer", F.when(F.col("even"), F.array("mean")).otherwise(refuse).alias("means"), F.array("std").alias("stds"))
         self.params = stats
         return self
 

@@ -21,8 +21,8 @@ def _pooled(spark, sf, strategy="last_token"):
 
 def _model(spark, sf):
     """Scaler, scaled rows, coefficients and intercept of the last-token mass-mean probe. The scaler's and the model's
-    parameters are a row a layer; they are kept, so that the plans that follow don't compute them again."""
-    rows = _pooled(spark, sf)
+    parameters are a row a layer; they and the pooled vectors, which are read three times, are kept."""
+    rows = _pooled(spark, sf).persist()
     scaler = LayerScaler("per_neuron").fit(rows)
     scaler.params = scaler.params.persist()
     scaled = scaler.transform(rows)
