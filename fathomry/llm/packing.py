@@ -3,9 +3,10 @@
 Documents are related by the passages that they share: fingerprints are the minima of word 8-gram hashes in every
 stretch of 32 grams, so that any common passage of 39 words gives a common fingerprint. Similarity is the Jaccard
 similarity of fingerprint sets. Documents that share a passage (all its fingerprints have the same documents) are
-compared completely up to LINKS + 1 of them; in larger groups each is compared with the LINKS that follow it in an
-order that brings similar ones together and with the LINKS of the fewest fingerprints, and so again among those that
-share two such passages. Recall against brute force is tested. Each document keeps its NEIGHBOURS most similar.
+compared completely up to LINKS + 1 of them; in larger groups each is first compared with the LINKS that follow it in
+an order that brings similar ones together and with the LINKS of the fewest fingerprints, and so again among those that
+share two such passages. Then each is compared with all that, by sizes and remaining passages, may be more similar than
+the last of its NEIGHBOURS so far. Each document keeps its NEIGHBOURS most similar, exactly (of equals any).
 
 A path starts at the unvisited document with the fewest neighbours (ties: the first row) and goes on to the most
 similar unvisited neighbour until there is none. A document without neighbours is a path by itself. Paths follow one
@@ -105,16 +106,53 @@ def neighbours(rows: DataFrame, scratch: Scratch) -> DataFrame:
     side = lambda c: lists.select(F.col("rid").alias(c), F.col("n").alias(f"n{c}"), F.col("m").alias(f"m{c}"))
     both = F.array_intersect(F.map_keys("ma"), F.map_keys("mb"))
     common = F.aggregate(both, F.lit(0).cast("long"), lambda t, k: t + F.element_at("ma", k))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", common.alias("c"))
-    found = scratch.write(found.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")), "similar")
-    both_ways = found.union(found.select("b", "a", "similarity"))
+    ratio = (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")
+    compare = lambda df: scratch.write(df.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", common.alias("c")).select("a", "b", ratio), "similar")
     near = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
-    out = scratch.write(both_ways.withColumn("r", near).where(F.col("r") <= NEIGHBOURS).select("a", "b", "similarity"), "neighbours")
-    for done in (keys, pairs, found):
+    best = lambda df: df.union(df.select("b", "a", "similarity")).withColumn("r", near).where(F.col("r") <= NEIGHBOURS)
+    found = compare(pairs)
+    # What is found so far bounds the rest: all pairs that may be more similar than a document's last.
+    last = best(found).where(F.col("r") == NEIGHBOURS).select(F.col("a").alias("rid"), F.col("similarity").alias("least"))
+    rest = F.sum("w").over(Window.partitionBy("rid").orderBy(F.desc("df"), F.desc("k")))
+    open_ = classes.withColumn("rest", rest).where(F.col("df") > LINKS + 1).join(last, "rid", "left")
+    open_ = open_.select("k", "rid", "n", "rest", F.coalesce("least", F.lit(0.0)).alias("least")).repartition("k")
+    more = scratch.write(open_.mapInArrow(probes, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    closer = compare(more)
+    out = scratch.write(best(found.union(closer)).select("a", "b", "similarity"), "neighbours")
+    for done in (keys, pairs, found, more, closer):
         scratch.drop(done)
     return out
 
 
+def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within a passage that may be more similar than the `least` that one of them has; a partition holds whole passages.
+
+    `rest` is the number of a document's fingerprints in this passage and those after it, passages being in one order
+    (rarest first) for all. The first passage that two documents share bounds what they have in common by both rests.
+    """
+    parts = list(batches)
+    if not sum(p.num_rows for p in parts):
+        return
+    k, rid, n, rest, least = (np.concatenate([np.asarray(p.column(c)) for p in parts]) for c in ("k", "rid", "n", "rest", "least"))
+    o = np.lexsort((n, k))
+    k, rid, n, rest, least = k[o], rid[o], n[o], rest[o], least[o]
+    # Sizes that another document may have: more than least x n, less than where all of rest in common isn't enough.
+    base = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]])) << 40
+    with np.errstate(divide="ignore"):
+        top = np.minimum(np.where(least > 0, rest * (1 + 1 / least) - n, np.inf), (1 << 40) - 2)
+    lo = np.searchsorted(base + n, base + np.floor(least * n * (1 - 1e-9)).astype(np.int64))
+    hi = np.searchsorted(base + n, base + np.ceil(np.maximum(top, 0)).astype(np.int64), "right")
+    count = np.maximum(hi - lo, 0)
+    piece = np.cumsum(count) >> 20
+    for at in np.split(np.arange(len(k)), np.flatnonzero(np.diff(piece)) + 1):
+        a = np.repeat(at, count[at])
+        b = np.repeat(lo[at] - (np.cumsum(count[at]) - count[at]), count[at]) + np.arange(len(a))
+        c = np.minimum(np.minimum(rest[a], rest[b]), n[b])
+        ok = (c > least[a] * (n[a] + n[b] - c) * (1 + 1e-12)) & (rid[a] != rid[b])
+        a, b = rid[a[ok]], rid[b[ok]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def walk(a: np.ndarray, b: np.ndarray, similarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greedy low-degree-first paths over undirected edges: node, path (its first node), position."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -342,6 +342,27 @@ def test_neighbours_recall(spark):
     assert wanted > 1500 and found / wanted >= 0.9
 
 
+def test_neighbours_of_many_hot_passages_are_exact(spark):
+    """Each document has 3 to 12 of 30 passages that hundreds share."""
+    rng, n = np.random.default_rng(11), 2000
+    hot = np.zeros((n, 30), np.int64)
+    for row in hot:
+        row[rng.choice(30, rng.integers(3, 13), replace=False)] = 1
+    own = rng.integers(0, 12, n)
+    lists = [[int(100 * c + j) for c in np.flatnonzero(h) for j in range(1 + c % 3)] + [int(10**6 + 100 * i + j) for j in range(own[i])] for i, h in enumerate(hot)]
+    rows = spark.createDataFrame([(i, int(rng.integers(1 << 60)), len(p), p) for i, p in enumerate(lists)], "rid long, ord long, n long, prints array<long>")
+    got = collections.defaultdict(list)
+    for r in packing.neighbours(rows, Scratch(spark)).collect():
+        got[r["a"]].append(r["similarity"])
+    size = np.array([len(p) for p in lists])
+    common = (hot * (1 + np.arange(30) % 3)) @ hot.T
+    similarity = common / (size[:, None] + size[None] - common)
+    np.fill_diagonal(similarity, 0)
+    want = -np.sort(-similarity, axis=1)[:, : packing.NEIGHBOURS]
+    have = np.array([sorted(got[i], reverse=True) for i in range(n)])
+    assert have.shape == want.shape and np.abs(have - want).max() < 1e-9
+
+
 def test_walk_is_low_degree_first():
     # A star 0-(1,2,3) with 3-4: leaves first, the most similar unvisited neighbour next.
     node, path, place = packing.walk(np.array([0, 0, 0, 3]), np.array([1, 2, 3, 4]), np.array([0.9, 0.8, 0.7, 0.6]))
