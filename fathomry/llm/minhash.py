@@ -6,8 +6,9 @@ hash functions instead of 2,268. A collection's value that no other document has
 and is left out before pairs are formed, which loses nothing.
 
 Candidates are the members of a bucket against its leaders (the smallest rows), round by round, four times as many
-leaders in each: members that match none of the leaders go on, until no bucket has two left. Every candidate is verified by the Jaccard similarity
-of the two whole sets of word 3-shingles; groups are the connected components of verified pairs.
+leaders in each. Every candidate is verified in its round by the Jaccard similarity of the two whole sets of word
+3-shingles. Only pairs that verified ones join already are left out: members go on, those of small groups as leaders
+first, until all members left in a bucket are of one group. Groups are the connected components of verified pairs.
 
 Texts are compared in lower case, by their words (letters, digits, underscore). A text without words, empty or null,
 is no near-duplicate of anything. Exact copies are near-duplicates with similarity 1. The document with the
@@ -94,8 +95,18 @@ def _bucket(i: Column, x: Column, j: Column, y: Column) -> Column:
     return F.xxhash64(i, x, j, y)
 
 
-def candidates(contents: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of rows whose signatures agree, found in the tables; contents: rid, sig."""
+def verified(pairs: DataFrame, contents: DataFrame, scan: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose whole sets have the similarity THRESHOLD."""
+    involved = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(contents.select("rid", "me"), "rid").select("rid", "me"), "involved")
+    texts = semi(scan, involved, ["me"], "inner").select("text", "rid")
+    words = scratch.write(texts.mapInArrow(sets, "rid long, words binary"), "sets")
+    side = lambda c: words.select(F.col("rid").alias(c), F.col("words").alias(f"words_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "words_a", "words_b")
+    return both.mapInArrow(jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= THRESHOLD).select("a", "b")
+
+
+def matches(contents: DataFrame, scan: DataFrame, scratch: Scratch) -> DataFrame:
+    """Verified pairs (a, b), of which every pair of a bucket is one or is joined by them or isn't similar; contents: rid, sig, me; scan: text, me."""
     m = COLLECTIONS
     value = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.xxhash64(F.slice("sig", i * WIDTH + 1, WIDTH)))
     single = contents.select("rid", F.posexplode(value).alias("i", "v"))
@@ -109,31 +120,38 @@ def candidates(contents: DataFrame, scratch: Scratch) -> DataFrame:
     whole = whole.groupBy("n", "s", "lo", "hi").agg(F.min("bucket").alias("bucket"))
     left = scratch.write(keys.join(whole.select("bucket"), "bucket"), "members")
     scratch.drop(keys)
-    found, leaders = [], LEADERS
+    edges, leaders = None, LEADERS
+    left = left.withColumn("component", F.col("rid"))
     while True:
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("rid"))
-        ranked = left.withColumn("r", rank)
-        first = ranked.where(F.col("r") <= leaders)
-        pairs = scratch.write(first.select("bucket", F.col("rid").alias("a"), F.col("r").alias("ra")).join(ranked.select("bucket", F.col("rid").alias("b"), "r"), "bucket").where("ra < r").select("bucket", "a", "b"), "pairs")
-        tried = scratch.write(pairs.select("a", "b").distinct(), "tried")
+        crowd = F.lit(1) if edges is None else F.count("*").over(Window.partitionBy("bucket", "component"))
+        size = F.count("*").over(Window.partitionBy("bucket"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("crowd", "rid"))
+        ranked = scratch.write(left.withColumn("crowd", crowd).withColumn("r", rank).withColumn("size", size).select("bucket", "rid", "component", "r", "size"), "ranked")
+        ranks = ranked.drop("size")
+        first = ranks.where(F.col("r") <= leaders)
+        pairs = first.toDF("bucket", "a", "ca", "ra").join(ranks.toDF("bucket", "b", "cb", "rb"), "bucket").where("ra < rb and ca != cb")
+        tried = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
         few = tried.count() <= BROADCAST_ROWS // 20  # a row carries a signature
         agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         side = lambda c: contents.select(F.col("rid").alias(c), F.col("sig").alias(f"sig_{c}"))
         hint = F.broadcast if few else lambda df: df
         signed = side("b").join(hint(side("a").join(hint(tried), "a")), "b")
         close = scratch.write(signed.where(agree >= ESTIMATE * COLLECTIONS * WIDTH).select("a", "b"), "close")
-        found.append(close)
-        matched = pairs.join(close, ["a", "b"]).select("bucket", F.col("b").alias("rid")).union(first.select("bucket", "rid"))
-        rest = scratch.write(left.join(matched, ["bucket", "rid"], "left_anti"), "left")
-        for done in (left, pairs, tried):
+        same = scratch.write(verified(close, contents, scan, scratch), "same")
+        edges = same if edges is None else scratch.write(edges.union(same).distinct(), "edges")
+        rest = ranked.where((F.col("r") > leaders) & (F.col("size") > leaders + 1)).select("bucket", "rid")
+        if not rest.limit(1).count():
+            break
+        rest = rest.join(components(edges, scratch), "rid", "left").select("bucket", "rid", F.coalesce("component", "rid").alias("component"))
+        of = Window.partitionBy("bucket")
+        rest = rest.withColumn("lo", F.min("component").over(of)).withColumn("hi", F.max("component").over(of)).where("lo != hi")
+        left = scratch.write(rest.select("bucket", "rid", "component"), "left")
+        for done in (ranked, tried, close):
             scratch.drop(done)
-        left, leaders = rest, leaders * 4
-        if not left.groupBy("bucket").count().where("count > 1").limit(1).count():
+        leaders *= 4
+        if not left.limit(1).count():
             break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return scratch.write(out.distinct(), "candidates")
+    return edges
 
 
 def groups(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str, Scratch]:
@@ -146,13 +164,7 @@ def groups(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str, Scratc
     rows = scratch.write(spread(scan).mapInArrow(signatures, f"me {IDENTITY}, ck binary, sig array<int>"), "signatures")
     contents = rows.groupBy("ck").agg(F.first("sig").alias("sig"), F.min("me").alias("me"), F.count("*").alias("copies")).withColumn("rid", F.monotonically_increasing_id())
     contents = scratch.write(contents, "contents")
-    pairs = candidates(contents.select("rid", "sig"), scratch)
-    involved = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(contents.select("rid", "me"), "rid").select("rid", "me"), "involved")
-    texts = semi(scan.select("text", "me"), involved, ["me"], "inner").select("text", "rid")
-    words = scratch.write(texts.mapInArrow(sets, "rid long, words binary"), "sets")
-    side = lambda c: words.select(F.col("rid").alias(c), F.col("words").alias(f"words_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "words_a", "words_b")
-    edges = scratch.write(both.mapInArrow(jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= THRESHOLD).select("a", "b"), "edges")
+    edges = matches(contents.select("rid", "sig", "me"), scan.select("text", "me"), scratch)
     label = components(edges, scratch)
     member = contents.join(label, "rid", "left").select("ck", F.coalesce("component", "rid").alias("component"), F.col("component").isNull().alias("alone"), "copies").where("not alone or copies > 1")
     found = rows.select("me", "ck").join(member.select("ck", "component"), "ck").select("me", "component")

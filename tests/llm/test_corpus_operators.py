@@ -93,6 +93,36 @@ def test_near_dedup_large_bucket(spark):
     assert {r["me"]["doc_id"] for r in out.collect()} == set(range(200, 260))
 
 
+def test_near_dedup_within_a_template(spark):
+    """Pairs of similarity 0.6 in a family of 0.43 across, which is over ESTIMATE and under THRESHOLD."""
+    template = [f"t{i}" for i in range(122)]
+    texts = [" ".join(template + [f"p{i // 2}x{j}" for j in range(30)] + [f"o{i}x{j}" for j in range(50)]) for i in range(200)]
+    want = brute_pairs(dict(enumerate(texts)), minhash.THRESHOLD)
+    assert want == {(i, i + 1) for i in range(0, 200, 2)}
+    across = len(shingle_set(texts[0]) & shingle_set(texts[2])) / len(shingle_set(texts[0]) | shingle_set(texts[2]))
+    assert minhash.ESTIMATE < across < minhash.THRESHOLD
+    out, _, _ = minhash.groups(spark, docs(spark, texts))
+    got = {(r["keep"]["doc_id"], r["me"]["doc_id"]) for r in out.collect() if r["me"] != r["keep"]}
+    assert got <= want and len(got) / len(want) >= 0.95, len(got)
+
+
+def test_near_dedup_chain_behind_leaders(spark):
+    """A member that has left for a leader is still compared with one that only it is similar to."""
+    word = lambda c, i, j: [f"{c}{i}x{k}" for k in range(j)]
+    # 0-3 lead the bucket; 4, 6, ... are similar to 0, and 5, 7, ... only to the one before.
+    core = [f"t{k}" for k in range(122)]
+    texts = [" ".join(core + word("h", 0, 32) + word("o", i, 30)) for i in range(4)]
+    for i in range(40):
+        texts.append(" ".join(core + word("h", 0, 32) + word("p", i, 60)))
+        texts.append(" ".join(core + word("p", i, 60) + word("q", i, 40)))
+    want = groups_of(brute_pairs(dict(enumerate(texts)), minhash.THRESHOLD), range(len(texts)))
+    out, _, _ = minhash.groups(spark, docs(spark, texts))
+    got = collections.defaultdict(set)
+    for r in out.collect():
+        got[r["keep"]["doc_id"]].add(r["me"]["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
 def test_near_dedup_odd(spark):
     ids = [0, 1, 2, 3, 4, 5, 6, 7, None, None, 4]
     odd = docs(spark, ODD, ids)
