@@ -245,7 +245,7 @@ class GroupLasso(Linear):
     Labels are the lower class as -1 and the higher as 1. Each step's gradient is a sum over Arrow batches; the driver keeps d numbers.
     """
 
-    LOCAL = 4_000_000
+    LOCAL, MAX_ITER = 4_000_000, 2000
 
     def fit(self, rows: DataFrame) -> GroupLasso:
         h, layers, alpha = self.params["hidden_dim"], self.params["n_layers"], self.params.get("alpha", 0.01)
@@ -287,7 +287,7 @@ class GroupLasso(Linear):
 
         w = z = np.zeros(h * layers)
         t = 1.0
-        for _ in range(self.params.get("max_iter", 2000 if local is not None else 200)):
+        for _ in range(steps := self.params.get("max_iter", self.MAX_ITER)):
             v = (z - step * gradient(z)).reshape(layers, h)
             norm = np.linalg.norm(v, axis=1, keepdims=True)
             new = (v * np.maximum(1 - step * alpha / np.maximum(norm, 1e-300), 0)).ravel()
@@ -300,6 +300,8 @@ class GroupLasso(Linear):
             w, z, t = new, z_next, faster
             if change < self.params.get("tol", 1e-7):
                 break
+        else:
+            warnings.warn(f"group lasso has not converged in {steps} steps", stacklevel=2)
         data.unpersist()
         self.coef_, self.intercept_ = w[None], np.zeros(1)
         self.group_norms_ = np.linalg.norm(w.reshape(layers, h), axis=1)

@@ -69,6 +69,14 @@ def test_group_lasso_conditions(data, monkeypatch):
         E.GroupLasso(hidden_dim=4, n_layers=3).fit(rows)
 
 
+@pytest.mark.parametrize("local", [0, 4_000_000])
+def test_group_lasso_has_one_limit(data, monkeypatch, local):
+    monkeypatch.setattr(E.GroupLasso, "LOCAL", local)
+    monkeypatch.setattr(E.GroupLasso, "MAX_ITER", 3, raising=False)
+    with pytest.warns(UserWarning, match="not converged in 3 steps"):
+        E.GroupLasso(hidden_dim=2, n_layers=3, alpha=0.12).fit(data[2])
+
+
 def test_svm_dummy_user(data):
     x, y, rows = data
     m = E.SVM().fit(rows)
