@@ -33,24 +33,27 @@ from .runtime import IDENTITY, Scratch, identity, semi, ship, source_folder, spr
 REACH, BIN = 200, 512
 MIN_ENTROPY, MIN_LENGTH = 2.8, 12
 _NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret(?:[_-]?access)?(?:[_-]?key)?|api[_-]?key|access[_-]?token|auth[_-]?token|token|private[_-]?key)"
+#: What follows a BEGIN line without its END: headers, then runs of base64, the last of any length.
+_GAP = r"(?:\s|\\[nr])*+"
+_BODY = rf"(?:{_GAP}[A-Z][\w-]*:[^\n]*)*+(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:{_GAP}[A-Za-z0-9+/]++={{0,2}}(?=[ \t\r]*(?:\n|\Z)))?"
 #: (kind, role, strength, pattern); the group "v", if there, is the value. "named" is strong if its value has enough entropy.
 PATTERNS = [
-    ("private_key", "secret", "strong", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]{0,8000}-----END [A-Z ]*PRIVATE KEY-----)?"),
+    ("private_key", "secret", "strong", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----|" + _BODY + ")"),
     ("aws_key_id", "identifier", "strong", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("github_token", "secret", "strong", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
     ("slack_token", "secret", "strong", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     ("stripe_key", "secret", "strong", r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}\b"),
     ("google_key", "secret", "strong", r"\bAIza[0-9A-Za-z_-]{35}"),
     ("jwt", "secret", "strong", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("url_password", "secret", "strong", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:(?P<v>[^\s:/@]{3,128})@[^\s/]+"),
-    ("named", "secret", "weak", r"(?i:\b(?:\w{1,32}[_-])?" + _NAME + r")\"?\s{0,3}[:=]{1,2}\s{0,3}[\"']?(?P<v>[^\s\"',;]{4,512})"),
-    ("client_id", "identifier", "weak", r"(?i:\b(?:client|account|tenant|app|access[_-]key)[_-]?id)\"?\s{0,3}[:=]\s{0,3}[\"']?(?P<v>[\w.@-]{4,128})"),
-    ("user_name", "identifier", "weak", r"(?i:\b(?:user(?:[_-]?name)?|login))\"?\s{0,3}[:=]\s{0,3}[\"']?(?P<v>[\w.@-]{2,128})"),
+    ("url_password", "secret", "strong", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:(?P<v>[^\s:/@]{3,}+)@[^\s/]+"),
+    ("named", "secret", "weak", r"(?i:\b(?:\w{1,32}[_-])?" + _NAME + r")\"?\s{0,3}[:=]{1,2}\s{0,3}[\"']?(?P<v>[^\s\"',;]{4,}+)"),
+    ("client_id", "identifier", "weak", r"(?i:\b(?:client|account|tenant|app|access[_-]key)[_-]?id)\"?\s{0,3}[:=]\s{0,3}[\"']?(?P<v>[\w.@-]{4,}+)"),
+    ("user_name", "identifier", "weak", r"(?i:\b(?:user(?:[_-]?name)?|login))\"?\s{0,3}[:=]\s{0,3}[\"']?(?P<v>[\w.@-]{2,}+)"),
     ("email", "identifier", "weak", r"\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,5}\b"),
     ("url", "endpoint", "weak", r"\b(?:https?|ftp|jdbc:\w+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s\"'<>]{3,2000}"),
     ("host", "endpoint", "weak", r"(?i:\b(?:host(?:name)?|endpoint|server))\"?\s{0,3}[:=]\s{0,3}[\"']?(?P<v>[\w.:-]{3,255})"),
     ("ip", "endpoint", "weak", r"\b(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?\b"),
-    ("bare", "secret", "weak", r"(?<![\w/+=-])(?=[A-Za-z0-9_/+-]{0,256}\d)[A-Za-z0-9_/+-]{32,256}={0,2}(?![\w/+=-])"),
+    ("bare", "secret", "weak", r"(?<![\w/+=-])(?=[A-Za-z_/+-]*+\d)[A-Za-z0-9_/+-]{32,}+={0,2}(?![\w/+=-])"),
 ]
 _ALL = re.compile("|".join(f"(?P<p{i}>{p.replace('?P<v>', f'?P<v{i}>')})" for i, (_, _, _, p) in enumerate(PATTERNS)))
 #: What any secret or strong identifier holds; only texts with it are searched for parts.

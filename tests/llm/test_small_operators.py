@@ -277,6 +277,20 @@ def test_linking_against_all_pairs(spark):
     assert got == want and len(want) > 50
 
 
+@pytest.mark.parametrize("secret", [
+    "token=" + "a1B2c3D4" * 100,
+    "k9Zq7LmX2bVw" * 25,
+    "https://bob:" + "p4ssW" * 60 + "@h.example",
+    "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIEabcd09+/" * 800 + "\n-----END RSA PRIVATE KEY-----",
+    "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + "MIIEabcd09+/\n" * 80 + "-----END RSA PRIVATE KEY-----",
+    "-----BEGIN PRIVATE KEY-----\n" + ("MIIEabcd09+/" * 5 + "\n") * 20 + "Qx09==",
+])
+def test_long_secrets_are_taken_whole(secret):
+    text = "see " + secret + "\nand so on"
+    p = secret_scan.parts(text)
+    assert [(x[4], x[5]) for x in p if x[2] == "secret"] == [(4, 4 + len(secret))]
+
+
 def test_secret_stage(spark, odd, empty):
     texts = ["key AKIA" + "A1B2C3D4E5F6G7H8 end", "password=abc1 alone", "user=bob password=abc1 é", "clean"]
     d = docs(spark, texts)
