@@ -13,8 +13,7 @@ similar unvisited neighbour until there is none. A document without neighbours i
 another in packs of about PACK tokens; windows of WINDOW tokens (words) are cut along them, and a document that
 crosses a border goes on in the next window.
 
-Components of more than WALK documents are walked in pieces of that many, in the order that brings similar ones
-together. Null, empty and blank texts have no tokens and are in no window. Repeated rows are documents of their own,
+A component is walked as a whole in one task, whatever its size. Null, empty and blank texts have no tokens and are in no window. Repeated rows are documents of their own,
 neighbours of one another. A null doc_id is kept as null. Empty tables give no rows. Other columns aren't read.
 """
 
@@ -34,7 +33,7 @@ from .runtime import Scratch, ship, spread, table
 
 GRAM, STRETCH = 8, 32
 LINKS, NEIGHBOURS = 8, 5
-WINDOW, PACK, WALK = 2048, 1 << 21, 200_000
+WINDOW, PACK = 2048, 1 << 21
 
 
 def winnow(h: np.ndarray, n: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +161,7 @@ def walk(a: np.ndarray, b: np.ndarray, similarity: np.ndarray) -> tuple[np.ndarr
     first = np.searchsorted(s, np.arange(len(nodes) + 1))
     degree = np.diff(first)
     seen = bytearray(len(nodes))
-    kin, begin = t.tolist(), first.tolist()
+    kin, begin = memoryview(t.astype(np.int32)), memoryview(first)  # plain numbers, not objects
     order, path, place = [], [], []
     for start in np.lexsort((nodes, degree)).tolist():
         if seen[start]:
@@ -179,7 +178,7 @@ def walk(a: np.ndarray, b: np.ndarray, similarity: np.ndarray) -> tuple[np.ndarr
 
 
 def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All edges of a partition, which holds whole pieces; pieces share no nodes, so that one walk does for all."""
+    """All edges of a partition, which holds whole components; they share no nodes, so that one walk does for all."""
     parts = list(batches)
     if sum(p.num_rows for p in parts):
         a, b, w = (np.concatenate([np.asarray(p.column(c)) for p in parts]) for c in ("a", "b", "similarity"))
@@ -198,12 +197,7 @@ def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     near = neighbours(rows, scratch)
     edges = scratch.write(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct(), "graph")
     label = components(edges.select("a", "b"), scratch)
-    place = F.row_number().over(Window.partitionBy("component").orderBy("ord", "rid")) - 1
-    piece = label.join(rows.select("rid", "ord"), "rid").select("rid", "component", F.floor(place / WALK).alias("piece"))
-    piece = scratch.write(piece, "pieces")
-    side = lambda c: piece.select(F.col("rid").alias(c), "component", F.col("piece").alias(f"piece_{c}"))
-    inner = edges.join(side("a"), "a").join(side("b").drop("component"), "b").where("piece_a = piece_b")
-    walks = inner.select("a", "b", "similarity", "component", F.col("piece_a").alias("piece")).repartition("component", "piece").select("a", "b", "similarity")
+    walks = edges.join(label.select(F.col("rid").alias("a"), "component"), "a").repartition("component").select("a", "b", "similarity")
     walked = scratch.write(walks.mapInArrow(_walks, "rid long, path long, place long"), "walks")
     placed = rows.select("rid", "doc_id", "tokens").join(walked, "rid", "left").select("doc_id", "tokens", "rid", F.coalesce("path", "rid").alias("path"), F.coalesce("place", F.lit(0)).alias("place"))
     total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]

@@ -383,6 +383,17 @@ def test_walk_is_low_degree_first():
     assert node.tolist() == [1, 0, 2, 4, 3] and path.tolist() == [1, 1, 1, 4, 4] and place.tolist() == [0, 1, 2, 0, 1]
 
 
+def test_components_are_walked_whole(spark, monkeypatch):
+    """A limit on the walked documents, as there was, has no effect: chains of likenesses stay one path."""
+    monkeypatch.setattr(packing, "WALK", 3, raising=False)
+    word = lambda i: [f"w{i}x{k}" for k in range(40 + i)]
+    texts = [" ".join(word(i) + word(i + 1)) for i in range(12)]
+    out = packing.pack(docs(spark, texts)).collect()
+    assert len({r["path"] for r in out}) == 1
+    place = {r["doc_id"]: r["place"] for r in out}
+    assert all(abs(place[i] - place[i + 1]) == 1 for i in range(11))
+
+
 def test_packing_fills_windows(spark, odd, empty):
     texts = related(random.Random(8), 60)
     out = packing.pack(docs(spark, texts), window=100).collect()
