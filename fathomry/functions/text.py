@@ -15,9 +15,10 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """Rebalance a scan that has fewer partitions than the cluster has cores: text expressions are what costs. Larger ones stay."""
+    """Rebalance a scan so small that it has fewer partitions than the cluster has cores: text expressions are what costs. Runs no job."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return docs.repartition(cores) if int(str(size)) < cores << 22 else docs
 
 
 def length_features(docs: DataFrame, text: str = "text") -> DataFrame:
