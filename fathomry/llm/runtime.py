@@ -90,9 +90,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that has fewer partitions than the cluster has cores; larger scans stay as they are."""
+    """Rebalance a scan so small that it has fewer partitions than the cluster has cores; larger scans stay as they are. Runs no job."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores << 22 else df
 
 
 def small(spark: SparkSession, written: DataFrame) -> bool:
@@ -108,14 +109,14 @@ def semi(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi")
 
 
 def source_folder(docs: DataFrame, scratch: Scratch) -> str:
-    """The path of an unchanged Parquet scan; anything else is written first."""
+    """The path of an unchanged Parquet scan of one file or of all files of one folder; anything else is written first."""
     plan = docs._jdf.queryExecution().analyzed()
     files = docs.inputFiles() if plan.getClass().getSimpleName() == "LogicalRelation" else []
     folders = {f.rsplit("/", 1)[0] for f in files}
     if len(files) == 1:
         return files[0]
-    if len(folders) == 1:
-        return folders.pop()
+    if len(folders) == 1 and set(docs.sparkSession.read.schema(docs.schema).parquet(folder := folders.pop()).inputFiles()) == set(files):
+        return folder
     return scratch.write(docs, "docs")._scratch_path
 
 

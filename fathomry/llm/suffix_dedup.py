@@ -5,19 +5,21 @@ share holds a common anchor: the least hash of its word 12-grams. Anchors that o
 which loses nothing; each other anchor takes the suffixes whose first LENGTH words have it as their least, with those
 words. Suffixes that share LENGTH words thus meet under one anchor, and anchors are distributed.
 
-A task handles some anchors at a time. Their segments are split into shards by document. Each shard's suffixes are
-sorted for its multi-string transform; then the transforms alone are merged: the interleave starts as shard after
-shard and is refined by a stable pass over the merged symbols, after pass h being right for h symbols. A border
-that first appears in pass h has a common prefix of h, so the passes give the prefix lengths and, after LENGTH passes,
-the repeated intervals: runs without a border. No suffixes are sorted again.
+A task handles some anchors at a time. Equal segments of an anchor become one string with their number. The strings
+are split into shards by document. Each shard's suffixes are sorted for its multi-string transform; then the
+transforms alone are merged: the interleave starts with the first symbols, shard after shard, and is refined by stable
+passes along the transforms, after pass h being right for h + 1 symbols. A border that first appears in pass h has a
+common prefix of h, so the passes give the prefix lengths and, after LENGTH passes, the repeated intervals: runs
+without a border. No suffixes are sorted again; blocks of one suffix are settled and take part in no further pass.
 
-Anchors of more than HOT documents don't fit a task: their windows of LENGTH words are grouped by hashes instead,
-which gives the same intervals.
+Anchors of more than HOT documents don't fit a task: their windows of LENGTH words are grouped by two 64-bit hashes
+instead, which gives the same intervals.
 
 Symbols are 32-bit word hashes; two passages would have to collide in a different word to be taken as equal. A
-result is a maximal stretch of a document covered by passages that other documents have too. Repeats within one
-document alone aren't reported. Null, empty and short texts have none. Repeated rows are documents of their own. A
-null doc_id is kept as null. Other columns aren't read.
+result is a maximal stretch of a document covered by passages that other documents have too; other_doc_id is the
+first of those by doc_id. `within`: repeats in one document alone count too (the query reports those across documents).
+Null, empty and short texts have none. Very long texts are cut into segments like others. Repeated rows are documents
+of their own. A null doc_id is kept as null and comes last. An empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,13 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernel import Words, list_array, mix, shingles, slices
+from .kernel import Words, hash_ranges, list_array, mix, shingles, slices
 from .packing import winnow
 from .runtime import IDENTITY, Scratch, identity, semi, ship, source_folder, spread, table
 
 LENGTH, GRAM = 50, 12
 SHARDS, CHUNK, HOT = 4, 300_000, 20_000
-_STRETCH = LENGTH - GRAM + 1
+#: Factors of the two hashes of a hot anchor's windows.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def anchors(arr: pa.Array, gram: int = GRAM, length: int = LENGTH):
@@ -102,34 +105,53 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
 
 
 def merge(bwts: list[np.ndarray], strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the transforms (0: end of a string) as shard numbers, and each row's common prefix with the one before, `depth` at most."""
-    shard = np.repeat(np.arange(len(bwts), dtype=np.int8), [len(b) for b in bwts])
-    ends = np.repeat(np.arange(len(bwts), dtype=np.int8), strings)
-    n, m = len(shard), len(ends)
-    block = np.zeros(n, np.int32)
-    prefix = np.full(n, depth, np.int16)
-    known = np.zeros(n, bool)
-    for h in range(depth):
-        symbols = np.empty(n, np.int64)
-        for s, b in enumerate(bwts):
-            symbols[shard == s] = b
-        at = np.flatnonzero(symbols)
-        key = np.sort(symbols[at] << 32 | at)  # stable: by symbol, then by place
-        source, symbol = key & 0xFFFFFFFF, key >> 32
-        shard = np.concatenate([ends, shard[source]])
-        before = block[source]
-        border = np.ones(n, bool)
-        border[m + 1 :] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
-        prefix[border & ~known] = h
-        known |= border
-        if border.all():
+    """Interleave of the transforms (0: end of a string) as shard numbers, and each row's common prefix with the one before, `depth` at most.
+
+    A row's symbol sends it to its own shard's row of the suffix that begins one symbol earlier; these places are
+    counted once. A pass distributes the rows, in the order of the interleave, over the blocks that they send to.
+    Blocks of one row are settled: later passes leave them where they are.
+    """
+    first = np.cumsum([0, *map(len, bwts)])
+    n = int(first[-1])
+    after, symbol = np.full(n, -1, np.int64), np.zeros(n, np.int64)  # the row of the suffix without its first symbol
+    for s, (b, m) in enumerate(zip(bwts, strings)):
+        at = np.flatnonzero(b)
+        key = np.sort(b[at] << 32 | at)
+        after[first[s] + m : first[s + 1]] = first[s] + (key & 0xFFFFFFFF)
+        symbol[first[s] + m : first[s + 1]] = key >> 32
+    before = np.full(n, -1, np.int64)
+    before[after[after >= 0]] = np.flatnonzero(after >= 0)
+    key = np.sort(symbol << 32 | np.arange(n))
+    order, symbol = key & 0xFFFFFFFF, key >> 32  # row at each place
+    border = np.ones(n, bool)
+    border[1:] = (symbol[1:] != symbol[:-1]) | (symbol[1:] == 0)
+    prefix = np.where(border, 0, depth).astype(np.int16)
+    place, block = np.empty(n, np.int64), np.empty(n, np.int64)  # of each row: its place, and that of the first row of its block
+    place[order] = np.arange(n)
+    block[order] = np.maximum.accumulate(np.where(border, np.arange(n), 0))
+    slots = np.flatnonzero(~border | ~np.append(border[1:], True))  # places in blocks of several rows
+    for h in range(1, depth):
+        if not len(slots):
             break
-        block = np.cumsum(border, dtype=np.int32)
-    return shard, prefix
-
-
-def repeats(symbols: np.ndarray, off: np.ndarray, doc: np.ndarray, anchor_starts: np.ndarray, length: int, shards: int = SHARDS):
-    """Of segments (symbols between offsets; the first anchor_starts[i] positions count): segment, position, least and greatest document, documents."""
+        row = order[slots]
+        key = np.sort(block[row] << 32 | place[after[row]])
+        source = order[key & 0xFFFFFFFF]
+        row, old, far = before[source], key >> 32, block[source]
+        border = np.ones(len(slots), bool)
+        border[1:] = (old[1:] != old[:-1]) | (far[1:] != far[:-1])
+        prefix[slots[border & (prefix[slots] == depth)]] = h
+        order[slots], place[row] = row, slots
+        block[row] = slots[np.maximum.accumulate(np.where(border, np.arange(len(slots)), 0))]
+        slots = slots[~border | ~np.append(border[1:], True)]
+    return (np.searchsorted(first, order, side="right") - 1).astype(np.int8), prefix
+
+
+def repeats(symbols: np.ndarray, off: np.ndarray, doc: np.ndarray, anchor_starts: np.ndarray, length: int, shards: int = SHARDS, high: np.ndarray | None = None, weight: np.ndarray | None = None, within: bool = False):
+    """Of segments (symbols between offsets; the first anchor_starts[i] positions count): segment, position, least and greatest document, occurrences.
+
+    A segment may stand for `weight` equal ones, of documents from doc to `high`. within: also repeats in one document.
+    """
+    high, weight = doc if high is None else high, np.ones(len(doc), np.int64) if weight is None else weight
     _, dense = np.unique(symbols, return_inverse=True)
     dense = dense.astype(np.int64) + 1
     n = np.diff(off)
@@ -139,9 +161,9 @@ def repeats(symbols: np.ndarray, off: np.ndarray, doc: np.ndarray, anchor_starts
         mine = np.flatnonzero(of == s)
         size = n[mine] + 1
         start = np.cumsum(size) - size
-        t = np.zeros(int(size.sum()), np.int64)
         seg = np.repeat(np.arange(len(mine)), size)
-        pos = np.arange(len(t)) - start[seg]
+        pos = np.arange(int(size.sum())) - start[seg]
+        t = np.zeros(len(pos), np.int64)
         body = pos < n[mine][seg]
         t[body] = dense[off[:-1][mine][seg[body]] + pos[body]] + len(mine)
         t[~body] = seg[~body]  # string i ends with symbol i
@@ -158,24 +180,76 @@ def repeats(symbols: np.ndarray, off: np.ndarray, doc: np.ndarray, anchor_starts
         seg[here], pos[here] = seg_of[s], pos_of[s]
     block = np.cumsum(prefix < length) - 1
     first = np.flatnonzero(prefix < length)
-    d = doc[seg]
-    low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-    hit = (low != high)[block] & (pos < anchor_starts[seg])
+    if not len(first):
+        return seg, pos, seg, seg, seg
+    low, top, size = np.minimum.reduceat(doc[seg], first), np.maximum.reduceat(high[seg], first), np.add.reduceat(weight[seg], first)
+    hit = ((low != top) | (within & (size > 1)))[block] & (pos < anchor_starts[seg])
     b = block[hit]
-    size = np.diff(np.append(first, len(d)))
-    return seg[hit], pos[hit], low[b], high[b], size[b]
+    return seg[hit], pos[hit], low[b], top[b], size[b]
+
+
+def distinct(words: np.ndarray, off: np.ndarray, anchor: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of the segments of each content (anchor, number of starts and all words), and each segment's place among those."""
+    h = hash_ranges(words.view(np.uint8), off[:-1] * 4, off[1:] * 4) ^ mix(anchor.view(np.uint64) + starts.astype(np.uint64))
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    n, twin = np.diff(off), first[which]
+    same = (n == n[twin]) & (starts == starts[twin]) & (anchor == anchor[twin])
+    at = np.flatnonzero(same & (twin != np.arange(len(n))))
+    size = n[at]
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    wrong = words[np.repeat(off[:-1][at], size) + step] != words[np.repeat(off[:-1][twin[at]], size) + step]
+    same[np.repeat(at, size)[wrong]] = False
+    other = np.flatnonzero(~same)  # a collision of hashes: each for itself
+    which[other] = len(first) + np.arange(len(other))
+    return np.append(first, other), which
+
+
+def intervals(words: np.ndarray, off: np.ndarray, doc: np.ndarray, anchor: np.ndarray, starts: np.ndarray, length: int = LENGTH, within: bool = False):
+    """Runs of starts of repeated passages: segment, first position, last position, least and greatest document, occurrences.
+
+    Equal segments are one string with their number; an anchor all of whose segments are equal needs no merge.
+    """
+    one, which = distinct(words, off, anchor, starts)
+    weight = np.bincount(which, minlength=len(one))
+    o = np.argsort(which, kind="stable")
+    begin = np.cumsum(weight) - weight
+    low, high = np.minimum.reduceat(doc[o], begin), np.maximum.reduceat(doc[o], begin)
+    _, of, strings = np.unique(anchor[one], return_inverse=True, return_counts=True)
+    lone = strings[of] == 1
+    whole = np.flatnonzero(lone & ((low != high) | (within & (weight > 1))))
+    found = [(whole, np.zeros(len(whole), np.int64), starts[one[whole]] - 1, low[whole], high[whole], weight[whole])]
+    # A segment of several starts may repeat within itself, so that within a document even a lone one is merged.
+    several = np.flatnonzero(~lone | within)
+    if len(several):
+        s = one[several]
+        size = np.diff(off)[s]
+        cut = np.concatenate([[0], np.cumsum(size)])
+        text = words[np.repeat(off[:-1][s] - cut[:-1], size) + np.arange(cut[-1])]
+        seg, pos, lo, hi, n = repeats(text, cut, low[several], starts[s], length, high=high[several], weight=weight[several], within=within)
+        order = np.lexsort((pos, seg))
+        seg, pos, lo, hi, n = seg[order], pos[order], lo[order], hi[order], n[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (pos[1:] != pos[:-1] + 1)])) if len(seg) else np.zeros(0, np.int64)
+        if len(fresh):
+            last = np.append(fresh[1:], len(seg)) - 1
+            found.append((several[seg[fresh]], pos[fresh], pos[last], np.minimum.reduceat(lo, fresh), np.maximum.reduceat(hi, fresh), np.maximum.reduceat(n, fresh)))
+    unit, *rest = (np.concatenate(c) for c in zip(*found))
+    times = weight[unit]
+    member = o[np.repeat(begin[unit] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+    return member, *(np.repeat(c, times) for c in rest)
 
 
-def anchor_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def anchor_lists(batches: Iterator[pa.RecordBatch], within: bool = False) -> Iterator[pa.RecordBatch]:
+    """The anchors of each row, each once; within: as often as they occur."""
     for batch in slices(batches):
         _, _, g, row, _, _ = anchors(batch.column("text"))
-        key = np.unique(np.stack([row.astype(np.uint64), g], axis=1), axis=0) if len(g) else np.zeros((0, 2), np.uint64)
+        key = np.stack([row.astype(np.uint64), g], axis=1)
+        key = np.unique(key, axis=0) if len(g) and not within else key
         count = np.bincount(key[:, 0].astype(np.int64), minlength=batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("me"), list_array(key[:, 1].view(np.int64), count, pa.int64())], ["me", "anchors"])
 
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, anchor, start, starts, words (binary; null: hot) and, of hot anchors, hashes of all windows."""
+    """rid, anchor, start, starts, words (binary; empty: hot) and, of hot anchors, two hashes of every window."""
     for batch in slices(batches):
         w, h, g, row, lo, hi = anchors(batch.column("text"))
         wanted, n = _flat(batch.column("shared"))
@@ -191,10 +265,11 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = pa.Array.from_buffers(pa.binary(), len(g), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int32)), pa.py_buffer(words)])
         count = np.where(is_hot, hi - lo + 1, 0)
         at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        windows = np.zeros(len(at), np.uint64)
+        windows = [np.zeros(len(at), np.uint64) for _ in _ODD]
         for j in range(LENGTH if len(at) else 0):
-            windows = (windows ^ h[at + j]) * np.uint64(0x9E3779B97F4A7C15) + (windows >> np.uint64(31))
-        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(g.view(np.int64)), pa.array((lo - first_w[row]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), data, list_array(windows.view(np.int64), count, pa.int64())], ["rid", "anchor", "start", "starts", "words", "windows"])
+            windows = [(w ^ h[at + j]) * c + (w >> np.uint64(31)) for w, c in zip(windows, _ODD)]
+        lists = [list_array(w.view(np.int64), count, pa.int64()) for w in windows]
+        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(g.view(np.int64)), pa.array((lo - first_w[row]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), data, *lists], ["rid", "anchor", "start", "starts", "words", "windows", "checks"])
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -210,28 +285,18 @@ def _member(g: np.ndarray, row: np.ndarray, wanted: np.ndarray, n: np.ndarray) -
     return np.isin(g ^ salt(row), wanted ^ salt(np.repeat(np.arange(len(n)), n)))
 
 
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def merged(batches: Iterator[pa.RecordBatch], within: bool = False) -> Iterator[pa.RecordBatch]:
     """Segments ordered by anchor -> intervals: rid, start, stop, low, high, documents."""
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
-        col = lambda c: np.asarray(t.column(c).combine_chunks())
+        col = lambda c: np.asarray(t.column(c).combine_chunks()).astype(np.int64)
         data = t.column("words").combine_chunks().cast(pa.large_binary())
         off = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
         words = np.frombuffer(data.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.uint32)
-        off = (off - off[0]) // 4
-        doc, start, starts = col("rid").astype(np.int64), col("start").astype(np.int64), col("starts").astype(np.int64)
-        seg, pos, low, high, size = repeats(words, off, doc, starts, LENGTH)
-        o = np.lexsort((pos, seg))
-        seg, pos, low, high, size = seg[o], pos[o], low[o], high[o], size[o]
-        fresh = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (pos[1:] != pos[:-1] + 1)])) if len(seg) else np.zeros(0, np.int64)
-        if len(fresh):
-            last = np.append(fresh[1:], len(seg)) - 1
-            low, high, size = np.minimum.reduceat(low, fresh), np.maximum.reduceat(high, fresh), np.maximum.reduceat(size, fresh)
-            s = seg[fresh]
-            columns = [doc[s], start[s] + pos[fresh], start[s] + pos[last] + LENGTH, low, high, size]
-        else:
-            columns = [np.zeros(0, np.int64)] * 6
+        doc, start = col("rid"), col("start")
+        seg, first, last, low, high, copies = intervals(words, (off - off[0]) // 4, doc, col("anchor"), col("starts"), within=within)
+        columns = [doc[seg], start[seg] + first, start[seg] + last + LENGTH, low, high, copies]
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["rid", "start", "stop", "low", "high", "copies"])
 
     waiting: list[pa.RecordBatch] = []
@@ -258,26 +323,28 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(waiting)
 
 
-def passages(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, start_word, end_word, other_doc_id, copies of every stretch that other documents have too."""
+def passages(spark: SparkSession, docs: DataFrame, hot: int = HOT, within: bool = False) -> DataFrame:
+    """doc_id, start_word, end_word, other_doc_id, copies of every stretch that other documents (within: or other places) have too."""
     ship(spark)
     scratch = Scratch(spark)
     path = source_folder(docs, scratch)
     scan = spark.read.parquet(path)
     scan = scan.select("text", identity(scan).alias("me"))
-    rows = scratch.write(spread(scan).mapInArrow(anchor_lists, f"me {IDENTITY}, anchors array<long>").where("size(anchors) > 0").withColumn("rid", F.monotonically_increasing_id()), "anchors")
+    rows = spread(scan).mapInArrow(lambda b: anchor_lists(b, within), f"me {IDENTITY}, anchors array<long>").where("size(anchors) > 0")
+    # Numbered in the order of doc_id, so that the result doesn't depend on files and partitions.
+    rows = scratch.write(scratch.write(rows, "lists").orderBy("me").withColumn("rid", F.monotonically_increasing_id()), "anchors")
     single = rows.select("rid", F.explode("anchors").alias("anchor"))
     shared = single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    of = single.join(shared, "anchor").groupBy("rid").agg(F.collect_list("anchor").alias("shared"), F.filter(F.collect_list(F.when(F.col("n") > hot, F.col("anchor"))), lambda x: x.isNotNull()).alias("hot"))
+    of = single.join(shared, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot"))
     wanted = scratch.write(of.join(rows.select("rid", "me"), "rid").select("rid", "me", "shared", "hot"), "shared")
     texts = semi(scan, wanted, ["me"], "inner").select("text", "rid", "shared", "hot")
-    found = texts.mapInArrow(segments, "rid long, anchor long, start int, starts int, words binary, windows array<long>")
+    found = texts.mapInArrow(segments, "rid long, anchor long, start int, starts int, words binary, windows array<long>, checks array<long>")
     found = scratch.write(found, "segments")
     cold = found.where("size(windows) = 0").select("rid", "anchor", "start", "starts", "words").repartition("anchor").sortWithinPartitions("anchor")
-    spans = cold.mapInArrow(merged, "rid long, start long, stop long, low long, high long, copies long")
-    warm = found.where("size(windows) > 0").select("rid", "anchor", "start", F.posexplode("windows").alias("k", "w")).select("rid", (F.col("start") + F.col("k")).cast("long").alias("start"), "anchor", "w")
-    same = warm.groupBy("anchor", "w").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("copies")).where("low != high")
-    spans = spans.unionByName(warm.join(same, ["anchor", "w"]).select("rid", "start", (F.col("start") + LENGTH).alias("stop"), "low", "high", "copies"))
+    spans = cold.mapInArrow(lambda b: merged(b, within), "rid long, start long, stop long, low long, high long, copies long")
+    warm = found.where("size(windows) > 0").select("rid", "anchor", "start", "checks", F.posexplode("windows").alias("k", "w")).select("rid", (F.col("start") + F.col("k")).cast("long").alias("start"), "anchor", "w", F.get("checks", "k").alias("v"))
+    same = warm.groupBy("anchor", "w", "v").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("copies")).where("copies > 1" if within else "low != high")
+    spans = spans.unionByName(warm.join(same, ["anchor", "w", "v"]).select("rid", "start", (F.col("start") + LENGTH).alias("stop"), "low", "high", "copies"))
     spans = scratch.write(spans, "spans")
     sofar = F.max("stop").over(Window.partitionBy("rid").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
     fresh = (F.coalesce(sofar, F.lit(-1)) < F.col("start")).cast("int")

@@ -224,6 +224,43 @@ def test_anchors_take_every_suffix_once(real):
     assert sorted(taken) == [int(f) + p for f, c in zip(first, w.count) for p in range(max(0, c - suffix_dedup.LENGTH + 1))]
 
 
+def test_passages_do_not_depend_on_files(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    found = [sorted(map(tuple, suffix_dedup.passages(spark, x).collect())) for x in (d, d.repartition(5, "n_chars"))]
+    assert found[0] == found[1] and len(found[0]) > 10
+
+
+def test_repeats_within_a_document(spark):
+    rng = random.Random(4)
+    word = lambda: f"y{rng.randrange(9000)}"
+    base = [word() for _ in range(60)]
+    texts = [" ".join([word() for _ in range(20)] + base + [word() for _ in range(30)] + base), " ".join(word() for _ in range(300)), " ".join(["same"] * 80)]
+    for hot in (suffix_dedup.HOT, 0):
+        got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.passages(spark, docs(spark, texts), hot, within=True).collect()}
+        assert got == {(0, 20, 80), (0, 110, 170), (2, 0, 80)}
+    assert suffix_dedup.passages(spark, docs(spark, texts)).count() == 0
+
+
+def test_equal_segments_are_one_string():
+    """Intervals of segments with their copies equal those of each segment by itself."""
+    rng = np.random.default_rng(5)
+    for trial in range(40):
+        kinds = [rng.integers(1, 4, size=rng.integers(6, 12)).astype(np.uint32) for _ in range(6)]
+        pick = rng.integers(0, 1 if trial % 8 == 0 else 6, size=25)
+        doc, anchor = rng.integers(0, 9, size=25).astype(np.int64), np.full(25, 7, np.int64)
+        off = np.concatenate([[0], np.cumsum([len(kinds[k]) for k in pick])])
+        words = np.concatenate([kinds[k] for k in pick])
+        for within in (False, True):
+            found = suffix_dedup.intervals(words, off, doc, anchor, np.diff(off) - 4, 5, within)
+            got = {(int(s), p) for s, a, b, *_ in zip(*found) for p in range(a, b + 1)}
+            occ = collections.defaultdict(list)
+            for i, k in enumerate(pick):
+                for p in range(len(kinds[k]) - 4):
+                    occ[tuple(kinds[k][p : p + 5].tolist())].append((i, p))
+            again = lambda v: len(v) > 1 if within else len({int(doc[i]) for i, _ in v}) > 1
+            assert got == {k for v in occ.values() if again(v) for k in v}
+
+
 def test_passages_odd(spark):
     ids = [0, 1, 2, 3, 4, 5, 6, 7, None, None, 4]
     got = suffix_dedup.passages(spark, docs(spark, ODD, ids)).collect()
