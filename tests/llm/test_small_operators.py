@@ -263,18 +263,59 @@ def test_linking_against_all_pairs(spark):
     rng = random.Random(9)
     bits = ["client_id=app42", "password=abc1", "https://h.example/x", "user: bob", "token = 'deadbeefcafe0123456789'", "AKIA" + "A1B2C3D4E5F6G7H8", "\n\n", "words " * 12, "more " * 30, "10.0.0.1"]
     texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(0, 25))) for _ in range(60)]
-    got = collections.Counter()
-    for r in secret_scan.findings(spark, docs(spark, texts))[0].collect():
-        got[r["me"]["doc_id"], r["start"], r["kind"], r["strength"], r["links"]] += 1
+    check_links(spark, docs(spark, texts), dict(enumerate(texts)), 50)
+
+
+def test_scan_of_the_tables(spark, sf):
+    """Every place of every text tried with every pattern by itself, and all pairs of parts of a scope."""
+    d = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").where("text is not null")
+    check_links(spark, d, {r[0]: r[1] for r in d.select("doc_id", "text").collect()}, 3)
+
+
+def check_links(spark, d, texts, least):
+    got = collections.Counter((r["doc_id"], r["start"], r["stop"], r["kind"], r["strength"], r["links"], r["nearest_start"]) for r in secret_scan.findings(d).collect())
+    single = [(k, role, strength, re.compile(p)) for k, role, strength, p in secret_scan.PATTERNS]
     want = collections.Counter()
-    for i, t in enumerate(texts):
-        ps = secret_scan.parts(t)
+    for i, t in texts.items():
+        ps, at = [], 0 if any(p.search(t) for *_, p in single) else len(t)
+        while at < len(t):
+            m, kind, role, strength = next(((m, k, r, s) for k, r, s, p in single if (m := p.match(t, at))), (None, None, None, None))
+            if not m:
+                at += 1
+                continue
+            value = next((v for v in m.groupdict().values() if v is not None), m.group())
+            share = collections.Counter(value)
+            bits = -sum(n / len(value) * np.log2(n / len(value)) for n in share.values())
+            if kind != "bare" or bits >= 3.2:
+                strong = strength == "strong" or kind == "named" and len(value) >= 12 and bits >= 2.8 and not any(c.isspace() for c in value)
+                ps.append((kind, role, strong, m.start(), m.end()))
+            at = m.end()
         for p in ps:
-            good = {"secret": ("identifier", "endpoint"), "identifier": ("secret",)}.get(p[2], ())
-            links = sum(q[0] == p[0] and q[2] in good and q[4] <= p[5] + secret_scan.REACH and q[5] >= p[4] - secret_scan.REACH for q in ps if q is not p)
-            if p[2] != "endpoint" and (p[3] or links):
-                want[i, p[4], p[1], "strong" if p[3] else "weak", links] += 1
-    assert got == want and len(want) > 50
+            others = {"secret": ("identifier", "endpoint"), "identifier": ("secret",)}.get(p[1], ())
+            links = [q for q in ps if q[1] in others and not re.search(r"\n[ \t]*\n", t[min(p[3], q[3]) : max(p[3], q[3]) + 1])]
+            if p[1] != "endpoint" and (p[2] or links):
+                near = min(((max(q[3] - p[4], p[3] - q[4]), q[3]) for q in links), default=(0, None))[1]
+                want[i, p[3], p[4], p[0], "strong" if p[2] else "weak", len(links), near] += 1
+    assert got == want and len(want) > least, (got - want, want - got)
+
+
+def test_parts_of_a_scope_are_linked_at_any_distance(spark):
+    text = "user: bob\n" + "word " * 5000 + "\npassword = abc1"
+    assert [(r["kind"], r["links"]) for r in secret_scan.findings(docs(spark, [text])).orderBy("start").collect()] == [("user_name", 1), ("named", 1)]
+    assert secret_scan.findings(docs(spark, [text.replace("bob\n", "bob\n \n")])).count() == 0
+
+
+@pytest.mark.parametrize("text, gone", [
+    ('{"private_key": "-----BEGIN PRIVATE KEY-----\\nMIIEabcd09\\nQx==\\n-----END PRIVATE KEY-----\\n", "client_id": "app42"}', ["MIIE", "Qx==", "app42"]),
+    ("-----BEGIN PGP PRIVATE KEY BLOCK-----\n\nlQOYBabcd\n=x1y2\n-----END PGP PRIVATE KEY BLOCK-----", ["lQOY", "x1y2"]),
+    ('host: db1.example\npassword: "two words, and; more"', ["two", "words", "more"]),
+    ("A_VERY_LONG_NAME_OF_AN_ENVIRONMENT_VARIABLE_THAT_ENDS_IN_PASSWORD        =        k9Zq7LmX2bVw", ["k9Zq7LmX2bVw"]),
+    ("https://" + "h" * 3000 + ".example/x user=bob token=abcd", ["bob", "abcd"]),
+    ("login=bob, secret => 'it\\'s here1'", ["bob", "here1"]),
+])
+def test_nothing_of_a_secret_is_left(text, gone):
+    left = secret_scan.masked(text)
+    assert not any(g in left for g in gone), left
 
 
 @pytest.mark.parametrize("secret", [
@@ -292,6 +333,9 @@ def test_long_secrets_are_taken_whole(secret):
 
 
 def test_secret_stage(spark, odd, empty):
+    assert secret_scan.findings(odd).count() == 0 and secret_scan.findings(empty).count() == 0
+    twice = docs(spark, ["token=" + "a1B2c3D4" * 3] * 2, [1, 1])
+    assert secret_scan.findings(twice).count() == 2
     texts = ["key AKIA" + "A1B2C3D4E5F6G7H8 end", "password=abc1 alone", "user=bob password=abc1 é", "clean"]
     d = docs(spark, texts)
     out = {r["doc_id"]: r for r in secret_scan.stage(spark, d, "").collect()}
