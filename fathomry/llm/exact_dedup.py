@@ -6,8 +6,12 @@ document. A micro-batch reports the digests that were hit; hits are then compare
 the retained locator, so that a collision of digests can't remove a document.
 
 Null text: no duplicate of anything. Empty texts are copies of one another. Ties: the smallest doc_id stays, nulls
-last, then the smallest locator. Repeated rows are copies. An empty table gives no rows. Columns beside `doc_id`
-and `text` are not read.
+last, then the smallest locator. Repeated rows are copies. An empty table gives no rows. Very long texts are digested
+whole and read again only on hits. Columns beside `doc_id` and `text` are not read.
+
+With `state`, a durable folder, the stream goes on where an earlier run ended: only files that were added to the
+folder of documents since are read into the state, and they meet all digests retained before. Without it the state
+lasts as long as the call.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def stream_state(spark: SparkSession, path: str, digest, scratch: Scratch, max_files: int | None = None) -> DataFrame:
+def stream_state(spark: SparkSession, path: str, digest, scratch: Scratch, max_files: int | None = None, state: str | None = None) -> DataFrame:
     """Run the stream over all files below path; one row for each digest that was hit: digest, n, keep."""
     schema = spark.read.parquet(path).select("doc_id", "text").schema
     reader = spark.readStream.schema(schema)
@@ -53,29 +57,32 @@ def stream_state(spark: SparkSession, path: str, digest, scratch: Scratch, max_f
         reader = reader.option("maxFilesPerTrigger", max_files)
     # A stream reads folders or globs; a single file is named by a glob that matches it alone.
     source = reader.parquet(re.sub(r"(.)$", r"[\1]", path) if path.endswith(".parquet") else path)
-    state = source.where("text is not null").select(digest(F.col("text")).alias("digest"), identity(source).alias("keep")).groupBy("digest").agg(F.count("*").alias("n"), F.min("keep").alias("keep"))
-    hits = scratch.path("hits")
+    groups = source.where("text is not null").select(digest(F.col("text")).alias("digest"), identity(source).alias("keep")).groupBy("digest").agg(F.count("*").alias("n"), F.min("keep").alias("keep"))
+    root = state.rstrip("/") if state else scratch.path("state")
+    hits = f"{root}/hits"
     with _settings(spark):
         query = (
-            state.writeStream.outputMode("update")
+            groups.writeStream.outputMode("update")
             .trigger(availableNow=True)
-            .option("checkpointLocation", scratch.path("state"))
+            .option("checkpointLocation", f"{root}/stream")
             .foreachBatch(lambda df, batch: df.where("n > 1").coalesce(max(1, spark.sparkContext.defaultParallelism)).write.mode("overwrite").parquet(f"{hits}/batch={batch}"))
             .start()
         )
         query.awaitTermination()
-    kind = spark.createDataFrame([], state.schema).schema
+    kind = spark.createDataFrame([], groups.schema).schema
     probe = spark._jvm.org.apache.hadoop.fs.Path(hits)
     if not probe.getFileSystem(spark._jsc.hadoopConfiguration()).exists(probe):
         return spark.createDataFrame([], kind)
     return spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(hits).groupBy("digest").agg(F.max("n").alias("n"), F.min("keep").alias("keep"))
 
 
-def duplicates(spark: SparkSession, docs: DataFrame, digest=sha256, max_files: int | None = None) -> tuple[DataFrame, str]:
+def duplicates(spark: SparkSession, docs: DataFrame, digest=sha256, max_files: int | None = None, state: str | None = None) -> tuple[DataFrame, str]:
     """One row for each document that has an earlier copy: doc_id, file, row, duplicate_of, n_copies, digest; and the path read."""
     scratch = Scratch(spark)
     path = source_folder(docs, scratch)
-    hits = scratch.write(stream_state(spark, path, digest, scratch, max_files), "keys")
+    if state and path.startswith(scratch.root):
+        raise ValueError("a retained state needs documents that are a folder of Parquet files as it is")
+    hits = scratch.write(stream_state(spark, path, digest, scratch, max_files, state), "keys")
     scan = spark.read.parquet(path)
     located = scan.where("text is not null").select("doc_id", "text", identity(scan).alias("me"), digest(F.col("text")).alias("digest"))
     found = scratch.write(semi(located, hits, ["digest"], "inner"), "found")

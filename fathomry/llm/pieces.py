@@ -121,26 +121,35 @@ class Lattice:
         """
         unit = np.repeat(np.arange(len(off) - 1), np.diff(off))
         start, end, piece = self.edges(raw, off[1:][unit])
-        begin = off[:-1][unit[start]]
-        # By end within the unit, the order of filtering; then by end and by size.
-        o = np.argsort(((end - begin) * (len(raw) + 1) + end) * 64 + (end - start))
-        start, end, piece, step = start[o], end[o], piece[o], (end - begin)[o]
-        # Positions of all units side by side; a unit of n bytes has n + 1, so that ends of neighbours differ.
+        # Every path passes a position that no edge crosses: the lattice falls apart there, too, and sums start anew.
         shift = unit[start]
-        s, e, w = start + shift, end + shift, self.log_weight[piece]
+        crossed = np.cumsum(np.bincount(start + shift + 1, minlength=len(raw) + len(off) + 1) - np.bincount(end + shift, minlength=len(raw) + len(off) + 1))[: len(raw) + len(off) - 1]
+        cut = crossed == 0
+        cut[off[:-1] + np.arange(len(off) - 1)] = True
+        begin = np.maximum.accumulate(np.where(cut, np.arange(len(cut)), 0))[start + shift]
+        # By end within the part, the order of filtering; then by end and by size. Units lie side by side; one of n
+        # bytes has n + 1 positions, so that ends of neighbours differ.
+        s, e = start + shift, end + shift
+        o = np.lexsort((e - s, e, e - begin))
+        s, e, piece, step = s[o], e[o], piece[o], (e - begin)[o]
+        w = self.log_weight[piece]
         total = np.full(len(raw) + len(off), -np.inf)
         total[off[:-1] + np.arange(len(off) - 1)] = 0.0
+        base = np.where(cut, 0.0, -np.inf)  # sums as the edges that start there see them
         fresh = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
         cuts = np.searchsorted(step[fresh], np.arange(1, step.max(initial=0) + 2))
         last = np.append(fresh, len(e))
         for a, b in zip(cuts[:-1], cuts[1:]):
             lo, hi = last[a], last[b]
-            x = total[s[lo:hi]] + w[lo:hi]
+            x = base[s[lo:hi]] + w[lo:hi]
             group = last[a:b] - lo
             top = np.maximum.reduceat(x, group)
             sums = np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(group, hi - lo)))), group)
-            total[e[lo:hi][group]] = top + np.log(sums)
-        p = np.exp(total[s] + w - total[e])
+            at = e[lo:hi][group]
+            total[at] = top + np.log(sums)
+            open_ = ~cut[at]
+            base[at[open_]] = total[at[open_]]
+        p = np.exp(base[s] + w - total[e])
         o = np.argsort(2.0 * e - p)
         s, e, piece, p = s[o], e[o], piece[o], p[o]
         fresh = np.concatenate([[True], e[1:] != e[:-1]])
@@ -150,6 +159,12 @@ class Lattice:
         border[np.concatenate([fresh[1:], [True]])] = 2.0
         first = np.zeros(len(total), np.int64)
         first[e[at]] = at
+        # The sums over whole units: what was reached at earlier cuts is added.
+        gain = np.where(cut[: len(raw) + len(off) - 1], total[:-1], 0.0)
+        before = np.cumsum(gain) - gain
+        begin = off[:-1] + np.arange(len(off) - 1)
+        home = np.repeat(begin, np.diff(off) + 1)
+        total[: len(home)] += before[: len(home)] - before[home]
         return s, piece, border, first, total
 
     def sample(self, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

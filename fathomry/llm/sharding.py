@@ -10,7 +10,8 @@ equal bins at once. Each group then finds its bin by its rank within its size, i
 
 Sizes are UTF-8 bytes rounded up to `unit`. Null and empty texts have size 0 and count as one unit, so that
 every document has a shard. A group over the capacity has a shard of its own. Ties within a size are ordered by the
-digest. Repeated rows are copies and both returned. An empty table gives no rows.
+digest. Repeated rows are copies and both returned. An empty table gives no rows. Very long texts are groups like
+others. Columns beside `doc_id`, the key and those of the size aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .runtime import Scratch, table
+from .runtime import Scratch, small, table
 
 CAPACITY = 1 << 24
 UNIT = 64
@@ -181,8 +182,10 @@ def assign(docs: DataFrame, key: list, size, capacity: int = CAPACITY, unit: int
     counts = [tuple(r) for r in groups.groupBy("units").agg(F.count("*").alias("n")).collect()]
     runs, _ = pack(counts, capacity // unit)
     schema = T.StructType([T.StructField(c, T.LongType(), False) for c in ("units", "lo", "hi", "first_bin", "each")])
-    runs = spark.createDataFrame(runs, schema)
-    placed = ranked.join(runs, (ranked.units == runs.units) & (ranked["rank"] >= runs.lo) & (ranked["rank"] < runs.hi)).select("group_key", "group_bytes", (F.col("first_bin") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("long").alias("shard_id"))
+    # A row for each run of equal bins: small, and broadcast after a check, so that a size that most groups have isn't one partition.
+    runs = scratch.write(spark.createDataFrame(runs, schema), "runs")
+    runs = F.broadcast(runs) if small(spark, runs) else runs
+    placed = ranked.join(runs, ["units"]).where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("group_key", "group_bytes", (F.col("first_bin") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("long").alias("shard_id"))
     return rows.join(placed, "group_key").select("doc_id", "shard_id", "group_key", "bytes", "group_bytes")
 
 

@@ -1,18 +1,20 @@
 """URL rules as a bit-parallel automaton: all glob rules over each canonical URL at once.
 
-Every rule is a glob (`*` any run, `?` one character). The positions of all rules are packed into a row of 64-bit
+Every rule is a glob (`*` any run, `?` one character, `[a-z]` and `[!a-z]` one of a class or none of it). The positions of all rules are packed into a row of 64-bit
 words; a rule may straddle words. A step shifts the state by one bit with carries between words (Shift-And), masks
 it with the positions that accept the character, and keeps the positions that carry a `*` loop. The state of many
 URLs is one matrix, so a step costs a few vector operations for all rules and all URLs of a piece.
 
 Canonical form: trimmed, scheme and host in lower case, no user, no default port, no fragment, path at least `/`.
-A null or blank URL matches no rule and is kept. Repeated rows are treated alike. No cap on length: the
-automaton runs to the end of the longest URL. An allow rule (first character `@`) that matches overrides all others.
+A null or blank URL matches no rule and is kept. Repeated rows are treated alike. No cap on length: the automaton
+runs to the end of the longest URL. An allow rule (first character `@`) that matches overrides all others; of several
+rules that match all are listed. An empty table gives no rows. Columns beside `page_id` and `url` aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -34,44 +36,91 @@ RULES = [
 ]
 
 
-def parse(rule: str) -> tuple[list[frozenset[int] | None], list[bool]]:
-    """Positions: the bytes that each accepts (None: any), and which positions have a loop before the next one."""
-    accepts: list[frozenset[int] | None] = []
-    loops = [False]
-    raw, i = rule.encode(), 0
-    while i < len(raw):
-        c = raw[i : i + 1]
-        if c == b"*":
-            loops[-1] = True
+_CONTINUES = frozenset(range(0x80, 0xC0))
+#: What a position accepts: bytes, and whether further bytes of the same character follow (then they are passed over).
+_ANY = frozenset(range(256)) - _CONTINUES, True
+
+
+def members(rule: str, at: int, stop: int) -> tuple[bool, list[str]]:
+    """Whether a class (between its brackets) is negated, and its characters, ranges spelled out."""
+    text = rule[at:stop]
+    negated = len(text) > 1 and text[0] in "!^"
+    text, out, i = text[negated:], [], 0
+    while i < len(text):
+        if i + 2 < len(text) and text[i + 1] == "-":
+            out += map(chr, range(ord(text[i]), ord(text[i + 2]) + 1))
+            i += 3
+        else:
+            out.append(text[i])
+            i += 1
+    return negated, sorted(set(out))
+
+
+def tokens(rule: str) -> list[tuple]:
+    """("*",), ("?",), ("c", character) or ("[", negated, characters)."""
+    out, i = [], 0
+    while i < len(rule):
+        c = rule[i]
+        if c == "[" and "]" in rule[i + 2 :]:
+            j = rule.index("]", i + 2)
+            out.append(("[", *members(rule, i + 1, j)))
+            i = j
         else:
-            if c == b"[" and b"]" in raw[i + 2 :]:
-                j = raw.index(b"]", i + 2)
-                accepts.append(frozenset(raw[i + 1 : j]))
-                i = j
-            else:
-                accepts.append(None if c == b"?" else frozenset(c))
-            loops.append(False)
+            out.append((c,) if c in "*?" else ("c", c))
         i += 1
-    return accepts, loops
+    return out
+
+
+def parse(rule: str) -> list[tuple[list[tuple[frozenset[int], bool]], list[bool]]]:
+    """The forms of a rule: what each position accepts, and which positions have a loop before the next one.
+
+    A class with characters of several bytes gives a form for each of these and one for the others.
+    """
+    choices: list[list] = []
+    for kind, *rest in tokens(rule):
+        if kind == "[":
+            negated, chars = rest
+            single, wide = {ord(c) for c in chars if ord(c) < 128}, [c for c in chars if ord(c) >= 128]
+            if negated and wide:
+                raise ValueError(f"a negated class of characters beyond ASCII in {rule!r}")
+            choices.append([(_ANY[0] - single, True)] if negated else [(frozenset(single), False)] * bool(single) + wide)
+        else:
+            choices.append(["*" if kind == "*" else _ANY if kind == "?" else rest[0]])
+    forms = []
+    for pick in product(*choices):
+        accepts, loops = [], [False]
+        for x in pick:
+            if x == "*":
+                loops[-1] = True
+                continue
+            for one in [x] if isinstance(x, tuple) else [(frozenset([b]), False) for b in x.encode()]:
+                accepts.append(one)
+                loops.append(False)
+        forms.append((accepts, loops))
+    return forms
 
 
 class Automaton:
-    """Bit 0 of a rule is its start; bit k is set after k of its positions were consumed."""
+    """Bit 0 of a form is its start; bit k is set after k of its positions were consumed."""
 
     def __init__(self, rules: list[str]):
-        parsed = [parse(r.removeprefix("@")) for r in rules]
-        self.first = np.cumsum([0, *(len(loops) for _, loops in parsed)])
-        self.words = max(1, -(-int(self.first[-1]) // 64))
+        forms = [parse(r.removeprefix("@")) for r in rules]
+        self.forms = np.cumsum([0, *map(len, forms)])
+        parsed = [f for many in forms for f in many]
+        first = np.cumsum([0, *(len(loops) for _, loops in parsed)])
+        self.words = max(1, -(-int(first[-1]) // 64))
         size = 64 * self.words
-        accept, loop, start, final = np.zeros((256, size), bool), np.zeros(size, bool), np.zeros(size, bool), []
-        for at, (accepts, loops) in zip(self.first, parsed):
+        accept, keep, start, final = np.zeros((256, size), bool), np.zeros((256, size), bool), np.zeros(size, bool), []
+        for at, (accepts, loops) in zip(first, parsed):
             start[at] = True
-            loop[at : at + len(loops)] = loops
+            keep[:, at : at + len(loops)] = loops
             final.append(int(at) + len(loops) - 1)
-            for k, s in enumerate(accepts):
-                accept[list(range(256)) if s is None else list(s), at + k + 1] = True
+            for k, (found, wide) in enumerate(accepts):
+                accept[list(found), at + k + 1] = True
+                if wide:  # the rest of a character of several bytes
+                    keep[0x80:0xC0, at + k + 1] = True
         pack = lambda bits: np.packbits(bits, axis=-1, bitorder="little").view("<u8")
-        self.accept, self.loop, self.start, self.final = pack(accept), pack(loop), pack(start), np.array(final, dtype=np.int64)
+        self.accept, self.keep, self.start, self.final = pack(accept), pack(keep), pack(start), np.array(final, dtype=np.int64)
 
     def run(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Boolean matrix: URL, rule."""
@@ -81,15 +130,17 @@ class Automaton:
         live = np.searchsorted(-length[order], -np.arange(1, length.max(initial=0) + 1), side="right")
         begin = off[:-1][order]
         for i, n in enumerate(live):
-            d = state[:n]
+            d, byte = state[:n], raw[begin[:n] + i]
             moved = d << np.uint64(1)
             moved[:, 1:] |= d[:, :-1] >> np.uint64(63)
-            moved &= self.accept[raw[begin[:n] + i]]
-            d &= self.loop
+            moved &= self.accept[byte]
+            d &= self.keep[byte]
             d |= moved
-        hit = (state[:, self.final // 64] >> (self.final % 64).astype(np.uint64)) & np.uint64(1)
-        out = np.empty((len(length), len(self.final)), bool)
-        out[order] = hit.astype(bool)
+        hit = ((state[:, self.final // 64] >> (self.final % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)
+        out = np.zeros((len(length), len(self.forms) - 1), bool)
+        some = np.flatnonzero(np.diff(self.forms))
+        if len(some) and len(length):
+            out[np.ix_(order, some)] = np.logical_or.reduceat(hit, self.forms[some], axis=1)
         return out
 
 
@@ -131,15 +182,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _regex(rule: str) -> str:
-    out, i, rule = "", 0, rule.removeprefix("@")
-    while i < len(rule):
-        c = rule[i]
-        if c == "[" and "]" in rule[i + 2 :]:
-            j = rule.index("]", i + 2)
-            out, i = out + "[" + rule[i + 1 : j] + "]", j
+    out = ""
+    for kind, *rest in tokens(rule.removeprefix("@")):
+        if kind == "[":
+            out += "[" + "^" * rest[0] + "".join("\\" + c if c in "\\]^-[" else c for c in rest[1]) + "]"
         else:
-            out += {"*": r"[\s\S]*", "?": r"[\s\S]"}.get(c, c if c.isalnum() or c in "/:_=-" else "\\" + c)
-        i += 1
+            c = rest[0] if rest else kind
+            out += r"[\s\S]*" if kind == "*" else r"[\s\S]" if kind == "?" else c if c.isalnum() or c in "/:_=-" else "\\" + c
     return out
 
 

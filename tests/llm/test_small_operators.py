@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fathomry.llm import exact_dedup, kernel, packing, pieces, secret_scan, sharding, toxicity, url_filter
 from fathomry.llm.components import components
-from fathomry.llm.runtime import Scratch
+from fathomry.llm.runtime import Scratch, source_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, file string, digest string, rid long, row int"
 
@@ -79,6 +79,30 @@ def test_exact_dedup_many_batches(spark, tmp_path):
     assert {(r["doc_id"], r["duplicate_of"]) for r in out.collect()} == {(i, i % 7) for i in range(7, 30)}
 
 
+def test_exact_dedup_retains_its_state(spark, tmp_path):
+    """A second run over a folder with new files reads only these into the state, and finds copies of the first run's."""
+    at, state = str(tmp_path / "d"), f"file://{tmp_path}/state"
+    docs(spark, ["a", "b", "c", None]).coalesce(1).write.parquet(at)
+    assert exact_dedup.duplicates(spark, spark.read.parquet(at), state=state)[0].count() == 0
+    docs(spark, ["b", "d", "a"], [10, 11, -1]).coalesce(1).write.mode("append").parquet(at)
+    out, _ = exact_dedup.duplicates(spark, spark.read.parquet(at), state=state)
+    assert {(r["doc_id"], r["duplicate_of"], r["n_copies"]) for r in out.collect()} == {(10, 1, 2), (0, -1, 2)}
+    read = [int(x) for f in sorted((tmp_path / "state/stream/sources/0").glob("[0-9]*")) for x in [f.read_text().count('"path"')]]
+    assert read == [1, 1] or sum(read) == 2, read
+    with pytest.raises(ValueError):
+        exact_dedup.duplicates(spark, docs(spark, ["a"]), state=state)
+
+
+def test_a_scan_of_some_files_reads_no_others(spark, tmp_path):
+    at = tmp_path / "d"
+    docs(spark, [f"t{i}" for i in range(9)]).repartition(3).write.parquet(str(at))
+    files = sorted(map(str, at.glob("*.parquet")))
+    some = spark.read.parquet(*files[:2])
+    scratch = Scratch(spark)
+    assert spark.read.parquet(source_folder(some, scratch)).count() == some.count() < 9
+    assert source_folder(spark.read.parquet(str(at)), scratch).endswith("/d") and source_folder(spark.read.parquet(files[0]), scratch).endswith(".parquet")
+
+
 # op 1
 
 
@@ -118,6 +142,27 @@ def test_tree_stays_balanced():
     assert t.root.height <= 14 and t.tightest(500).key == 501
 
 
+@pytest.mark.parametrize("capacity", [1 << 12, 1 << 16])
+def test_shards_of_the_tables(spark, sf, capacity):
+    """Loads equal those of packing all groups one by one; no shard exceeds the capacity but by one group of that size."""
+    out = sharding.assign(spark.read.parquet(f"{sf}/documents.parquet"), ["text"], F.octet_length("text"), capacity=capacity).toPandas()
+    groups = out.drop_duplicates("group_key")
+    units = lambda b: (b + 63) // 64 if b else 1
+    assert (groups.group_bytes == out.groupby("group_key").bytes.sum().loc[groups.group_key].to_numpy()).all()
+    load = groups.assign(u=groups.group_bytes.map(units)).groupby("shard_id").agg(u=("u", "sum"), b=("group_bytes", "sum"), n=("u", "size"))
+    assert ((load.b <= capacity) | (load.n == 1)).all()
+    assert sorted((capacity // 64 - load.u).clip(lower=0)) == brute_bfd(groups.group_bytes.map(units).tolist(), capacity // 64)
+
+
+def test_ties_do_not_depend_on_the_order(spark):
+    """Equal sizes: the same bins whatever the order of the rows."""
+    texts = [f"{i:064d}" for i in range(200)]
+    out = sharding.assign(docs(spark, texts), ["text"], F.octet_length("text"), capacity=640).toPandas()
+    assert out.groupby("shard_id").size().max() == 10 and out.shard_id.nunique() == 20
+    again = sharding.assign(docs(spark, texts[::-1], list(range(199, -1, -1))), ["text"], F.octet_length("text"), capacity=640).toPandas()
+    assert dict(zip(out.doc_id, out.shard_id)) == dict(zip(again.doc_id, again.shard_id))
+
+
 def test_sharding_odd(spark, odd, empty):
     out = sharding.assign(odd, ["text"], F.octet_length("text"), capacity=1 << 16).collect()
     assert len(out) == len(ODD)
@@ -133,12 +178,21 @@ def test_sharding_odd(spark, odd, empty):
 
 def test_automaton_against_regex():
     rng = random.Random(5)
-    alphabet = "ab/."
-    rules = ["*", "a*b", "?a", "[ab]/*", "*a*b*a", "ab", "*.a", "", "a?*?b"] + ["".join(rng.choice("ab*?/") for _ in range(rng.randrange(1, 40))) for _ in range(30)]
+    alphabet = "ab/.é漢😀"
+    rules = ["*", "a*b", "?a", "[ab]/*", "*a*b*a", "ab", "*.a", "", "a?*?b", "a?b", "??", "*é?*", "[é漢]*", "*[a漢]b*", "[!a]?*", "*[^a.]", "*[a-b]/?", "?*[é-ü]", "*漢", "[]", "[a"] + ["".join(rng.choice("ab*?/") for _ in range(rng.randrange(1, 40))) for _ in range(30)]
     urls = ["", "a", "ab", "ba", "a/b.a"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30))) for _ in range(200)]
     got = url_filter.Automaton(rules).run(*kernel.strings(pa.array(urls)))
     want = [[bool(re.fullmatch(url_filter._regex(r), u)) for r in rules] for u in urls]
     assert got.tolist() == want
+    with pytest.raises(ValueError):
+        url_filter.Automaton(["[!é]"])
+
+
+def test_url_filter_columns(spark):
+    rows = [(1, "http://x.org/aéb", "r", 5, True), (2, "http://x.org/ab", "r", 5, True)]
+    d = spark.createDataFrame(rows, "page_id long, url string, canonical_url string, rules int, blocked boolean")
+    out = {r["page_id"]: (r["canonical_url"], r["rules"]) for r in url_filter.match(d, ["*/a?b", "*b", "*"]).collect()}
+    assert out == {1: ("http://x.org/aéb", [0, 1, 2]), 2: ("http://x.org/ab", [1, 2])}
 
 
 def test_url_filter_odd(spark):
@@ -193,6 +247,44 @@ def test_filter_sums_all_paths(lattice):
     assert np.isclose(total[len(raw)], np.log(weights))
 
 
+@pytest.mark.parametrize("text", ["a", "  x", "漢字ab", "😀é", "the cat", "==--a1", "mm\n\n", "ﬁx"])
+def test_each_edge_has_its_share_of_paths(lattice, text):
+    """Sums and the probability of every segmentation, as a product of the edges' shares, equal enumeration."""
+    raw = b" " + text.encode()
+    s, piece, border, first, total = lattice.filter(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    want = segmentations(lattice, text)
+    weights = sum(np.exp(sum(lattice.log_weight[i] for i in k)) for k in want)
+    assert np.isclose(total[len(raw)], np.log(weights))
+    size = {i: lattice.size[i] for i in set(piece.tolist())}
+    for ids, p in want.items():
+        at, q = len(raw), 1.0
+        for i in reversed(ids):
+            k, low = first[at], 0.0
+            while piece[k] != i:
+                low, k = border[k], k + 1
+            q *= min(border[k], 1.0) - low
+            at -= size[i]
+        assert at == 0 and np.isclose(q, p, rtol=1e-6, atol=1e-12)
+
+
+def test_long_texts_without_spaces(lattice):
+    """One unit each: not cut at all, cut between characters, and with pieces across."""
+    rng = random.Random(3)
+    texts = ["x" * 30_000, "漢字仮名" * 5000, "".join(rng.choice("abcXYZ019+/") for _ in range(30_000)), "\n" * 5000]
+    ids, n = lattice.sample(pa.array(texts), np.arange(4))
+    back, off = lattice.decode(ids, n)
+    assert [back[a + 1 : b].tobytes().decode() for a, b in zip(off[:-1], off[1:])] == texts
+
+
+def test_pieces_of_any_length():
+    """Pieces of 64 bytes and more keep their order and their share."""
+    pieces_ = [bytes([i]) for i in range(256)] + [b"a" * 64, b"a" * 128, b"a"]
+    lat = pieces.Lattice(pieces_, np.array([-9.0] * 256 + [-1.0, -1.5, -2.0]), 0)
+    ids, n = lat.sample(pa.array(["a" * 200] * 50), np.arange(50))
+    back, off = lat.decode(ids, n)
+    assert {back[a + 1 : b].tobytes() for a, b in zip(off[:-1], off[1:])} == {b"a" * 200} and {256, 257} <= set(ids.tolist())
+
+
 def test_pieces_round_trip(spark, odd, empty):
     enc = pieces.encode(odd).persist()
     assert all(r["lossless"] for r in enc.collect())
