@@ -1,21 +1,26 @@
 """Toxicity by a weighted grammar of finite-state transducers.
 
-Words are mapped to classes: insult, threat, target, negation, reported speech, other. Three transducers read the
-classes of a clause and are composed into one deterministic machine: negation rewrites insults and threats that
-follow within three words, reported speech rewrites those that follow in the clause, and the scorer weighs what is
-left, more if a target stands within three words on either side. A threat scores little without a target. A
-document's score is the sum over its clauses (parts between . ! ? ; and line ends); it is toxic from THRESHOLD on.
+Words are mapped to letters: insult, threat, target, negation, reported speech, words of phrases, other. Transducers
+read the letters of a clause and are composed into one deterministic machine. The first three know the phrases of
+insults, threats and targets ("waste of space", "make you pay", "that guy") and rewrite a phrase's last word as
+what the phrase is; negation rewrites insults and threats that follow within three words, reported speech those that
+follow in the clause; the scorer weighs what is left, more if a target stands within three words on either side. A
+threat scores little without a target. A document's score is the sum over its clauses (parts between . ! ? ; and line
+ends); it is toxic from THRESHOLD on.
 
 The insults of the fixed lexicon are English. Others are learned from labels: whole words that occur in at least
-MIN_CONTEXTS different contexts in toxic texts and at most a fifth as many in clean ones, from a sample of at most LABELLED labelled
-rows (the smallest hashes of doc_id). Contexts are counted rather than documents, so that copies don't count twice.
+MIN_CONTEXTS different contexts (the word before, none at the start of a text) in toxic texts and at most a fifth as
+many in clean ones, from a sample of at most LABELLED labelled rows (the smallest hashes of doc_id). Contexts are
+counted rather than documents, so that copies don't count twice.
 
-Whole texts are read. Null and empty texts score 0. Repeated rows are scored each. Null labels are left out; without
-labels the fixed lexicon alone works. Ties at the threshold are toxic. Other columns aren't read.
+Whole texts are read. Null and empty texts score 0. An empty table gives no rows. Repeated rows are scored each. Null
+labels are left out; without labels the fixed lexicon alone works. Ties at the threshold are toxic. Other columns
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +40,15 @@ LEXICON = {
     INSULT: "idiot idiots moron morons stupid loser losers pathetic scum worthless trash clown clowns disgusting imbecile cretin dumbass asshole bastard bitch vermin filth scumbag jerk retard degenerate parasite subhuman dimwit halfwit numbskull lowlife",
     THREAT: "kill murder hurt destroy strangle shoot stab beat lynch hang slaughter burn punish exterminate smash",
     TARGET: "you your yours yourself youre u they them he him she her these those du dich ihr dir vous toi tu ti usted ustedes",
-    NEGATION: "not never no neither nor isnt arent wasnt wont dont doesnt didnt cannot cant nicht kein keine nie pas jamais nunca ni",
+    NEGATION: "not never no neither nor isn aren wasn weren don doesn didn hasn haven ain wouldn couldn shouldn isnt arent wasnt wont dont doesnt didnt cannot cant nicht kein keine nie pas jamais nunca ni",
     REPORT: "said says say wrote writes reported reports quoted quotes quote called calls claimed claims alleged allegedly according sagte schrieb dit dijo",
 }
+#: Phrases by what their last word becomes; a name in capitals stands for any word of that class.
+PHRASES = {
+    INSULT: "piece of shit, piece of crap, piece of garbage, piece of dirt, full of shit, waste of space, waste of oxygen, waste of skin, shut up, drop dead, go to hell, kiss my ass, get lost, fuck TARGET, screw TARGET, brain dead, good for nothing",
+    THREAT: "make TARGET pay, make TARGET suffer, hunt TARGET down, put a bullet, put TARGET down, end TARGET life, slit TARGET throat, watch TARGET back, hope TARGET die, hope TARGET dies, wish TARGET dead, THREAT in hell, TARGET will pay, TARGET will regret, get what TARGET deserve",
+    TARGET: "this guy, that guy, this man, that man, this woman, that woman, this bunch, that bunch, this lot, that lot",
+}
 _BREAK = np.isin(np.arange(256), list(b".!?;\n\r"))
 
 
@@ -73,6 +84,28 @@ class Transducer:
         return go, np.array([[self.arcs[q, a][2] for a in self.letters] for q in states])
 
 
+_NAMES = {"INSULT": INSULT, "THREAT": THREAT, "TARGET": TARGET}
+_CLASS = {w: k for k, words in LEXICON.items() for w in words.split()}
+#: Letters of the words that only phrases know.
+_WORDS = sorted({w for text in PHRASES.values() for w in text.replace(",", "").split()} - set(_NAMES) - set(_CLASS))
+LETTERS = {w: 8 + i for i, w in enumerate(_WORDS)}
+_ALL = range(8 + len(LETTERS))
+
+
+def phrases(kind: int, last: bool = False) -> Transducer:
+    """Rewrites the last letter of each phrase of a kind; the state is the longest beginning of a phrase just read. last: other words of phrases become OTHER."""
+    known = {tuple(_NAMES.get(w) or _CLASS.get(w) or LETTERS[w] for w in p.split()) for p in PHRASES[kind].split(", ")}
+    begun = {p[:i] for p in known for i in range(len(p))}
+
+    def step(q: tuple, a: int):
+        read = q + (a,)
+        ends = any(read[i:] in known for i in range(len(read)))
+        after = next(read[i:] for i in range(len(read) + 1) if read[i:] in begun)
+        return after, kind if ends else OTHER if last and a >= 8 else a, 0.0
+
+    return Transducer((), step, _ALL)
+
+
 _SOFT = {INSULT: INSULT_SOFT, THREAT: THREAT_SOFT}
 
 
@@ -100,8 +133,13 @@ def scorer(q: tuple[int, int, int], a: int):
     return (target, hit, kind if hit else 0), a, 0.0
 
 
+@functools.cache
 def grammar() -> Transducer:
-    return Transducer(0, negation).compose(Transducer(0, reported)).compose(Transducer((0, 0, 0), scorer))
+    """Insults, threats, targets, negation, reported speech, score: each reads what the one before writes."""
+    machine = phrases(INSULT).compose(phrases(THREAT)).compose(phrases(TARGET, last=True))
+    for start, step in ((0, negation), (0, reported), ((0, 0, 0), scorer)):
+        machine = machine.compose(Transducer(start, step))
+    return machine
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -111,12 +149,17 @@ def word_hashes(words: list[str]) -> np.ndarray:
 def lexicon(learned: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted word hashes and their classes."""
     found = {int(h): INSULT for h in np.array(learned, dtype=np.int64).view(np.uint64)}
-    for kind, words in LEXICON.items():
-        found |= {int(h): kind for h in word_hashes(words.split())}
+    for word, kind in (LETTERS | _CLASS).items():
+        h = int(word_hashes([word])[0])
+        found[h] = found.get(h, kind) if word in LETTERS else kind  # a learned word is an insult rather than a phrase's
     keys = np.array(sorted(found), dtype=np.uint64)
     return keys, np.array([found[int(k)] for k in keys], dtype=np.int64)
 
 
+#: Letters without which a clause scores nothing: insults, threats and of each of their phrases the last word that only phrases know.
+_CORE = np.isin(np.arange(len(_ALL)), [INSULT, THREAT, *([LETTERS[w] for w in p.split() if w in LETTERS][-1] for k in (INSULT, THREAT) for p in PHRASES[k].split(", "))])
+
+
 def score(arr: pa.Array, keys: np.ndarray, kinds: np.ndarray, go: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Score and number of scoring clauses of each text."""
     w = Words(arr)
@@ -126,7 +169,7 @@ def score(arr: pa.Array, keys: np.ndarray, kinds: np.ndarray, go: np.ndarray, we
     h = w.hashes()
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
     kind = np.where(keys[at] == h, kinds[at], OTHER)
-    core = (kind == INSULT) | (kind == THREAT)
+    core = _CORE[kind]
     if not core.any():
         return total, clauses
     clause = np.cumsum(_BREAK[w.raw])[w.start] + w.row  # never falls; rises at breaks and between texts
@@ -160,7 +203,7 @@ def score(arr: pa.Array, keys: np.ndarray, kinds: np.ndarray, go: np.ndarray, we
 def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> list[int]:
     """Hashes (as signed integers) of words that tell toxic texts."""
     sample = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    texts = spread(docs.select("doc_id", "text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -168,11 +211,12 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> list[int]:
             h = w.hashes()
             toxic = np.asarray(batch.column("toxic"))[w.row]
             before = np.concatenate([[np.uint64(0)], h[:-1]]) if len(h) else h
+            before[w.first[w.count > 0]] = 0  # the first word of a text has none before it
             long = w.end - w.start >= 4
             rows = np.unique(np.stack([h, before >> np.uint64(40) << np.uint64(1) | toxic], axis=1)[long], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].view(np.int64)), pa.array((rows[:, 1] >> np.uint64(1)).astype(np.int32)), pa.array((rows[:, 1] & np.uint64(1)).astype(bool))], ["word", "before", "toxic"])
 
-    seen = spread(texts).mapInArrow(contexts, "word long, before int, toxic boolean").distinct()
+    seen = texts.mapInArrow(contexts, "word long, before int, toxic boolean").distinct()
     counts = seen.groupBy("word").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
     return [r[0] for r in scratch.write(counts.where((F.col("bad") >= MIN_CONTEXTS) & (F.col("good") <= MAX_CLEAN * F.col("bad"))).select("word"), "lexicon").collect()]
 
@@ -181,11 +225,10 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, clauses of each document."""
     spark = docs.sparkSession
     ship(spark)
-    found = spark.sparkContext.broadcast(lexicon(learn(docs, labels, Scratch(spark))))
+    found = spark.sparkContext.broadcast((*lexicon(learn(docs, labels, Scratch(spark))), *grammar().tables()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, kinds = found.value
-        go, weight = grammar().tables()
+        keys, kinds, go, weight = found.value
         for batch in slices(batches):
             total, clauses = score(batch.column("text"), keys, kinds, go, weight)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(total, 6)), pa.array(clauses)], ["doc_id", "score", "clauses"])

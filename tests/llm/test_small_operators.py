@@ -304,16 +304,28 @@ def run(texts, learned=()):
 
 
 def brute_score(text):
-    kind = {w: k for k, ws in toxicity.LEXICON.items() for w in ws.split()}
+    """By the meaning of the grammar, without its machines: phrases by looking back, distances by counting words."""
+    words_of = {k: set(v.split()) for k, v in toxicity.LEXICON.items()}
+    I, T, G, N, R = toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT
+    name = {"INSULT": I, "THREAT": T, "TARGET": G}
     total = 0.0
     for clause in re.split(r"[.!?;\n\r]", text.lower()):
-        neg, rep, q = 0, 0, (0, 0, 0)
-        for w in re.findall(r"\w+", clause):
-            a = kind.get(w, 0)
-            neg, a, _ = toxicity.negation(neg, a)
-            rep, a, _ = toxicity.reported(rep, a)
-            q, a, x = toxicity.scorer(q, a)
-            total += x
+        ws = re.findall(r"\w+", clause)
+        kind = [next((k for k, v in words_of.items() if w in v), None) for w in ws]
+        for k in (I, T, G):
+            old = list(kind)
+            for p in [p.split() for p in toxicity.PHRASES[k].split(", ")]:
+                for i in range(len(ws) - len(p) + 1):
+                    if all(old[i + j] == name[x] if x in name else ws[i + j] == x and old[i + j] == next((c for c, v in words_of.items() if x in v), None) for j, x in enumerate(p)):
+                        kind[i + len(p) - 1] = k
+        at = [i for i, k in enumerate(kind) if k in (I, T)]
+        aims = [i for i, k in enumerate(kind) if k == G]
+        for i in at:
+            soft = any(kind[j] == N for j in range(max(0, i - 3), i)) or any(kind[j] == R for j in range(i))
+            after = next((j for j in aims if j > i), None)
+            aimed = any(0 < i - j <= 3 for j in aims) or after is not None and after - i <= 3 and not any(i < j < after for j in at)
+            base, bonus = {(I, False): (1.0, 0.6), (T, False): (0.2, 1.7), (I, True): (0.25, 0.1), (T, True): (0.0, 0.2)}[kind[i], soft]
+            total += base + bonus * aimed
     return round(total, 3)
 
 
@@ -322,12 +334,47 @@ def test_grammar_against_word_by_word():
     words = ["idiot", "moron", "kill", "you", "not", "said", "the", "tree", "house", ".", "\n"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))) for _ in range(400)]
     assert run(texts) == [brute_score(t) for t in texts]
+    some = ["you", "them", "burn", "idiot"] + [w for k in toxicity.PHRASES for p in toxicity.PHRASES[k].split(", ") for w in [p.replace("TARGET", "you").replace("THREAT", "burn")]] * 2
+    texts = [" ".join(rng.choice(some + words) for _ in range(rng.randrange(0, 25))) for _ in range(600)]
+    texts += [" ".join(rng.choice(" ".join(some).split()) for _ in range(30)) for _ in range(300)]
+    assert run(texts) == [brute_score(t) for t in texts]
+
+
+def test_scores_of_the_tables(spark, sf):
+    """Every document's score under the lexicon and what was learned, word by word."""
+    d, l = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learned = set(toxicity.learn(d, l, Scratch(spark)))
+    texts = {r[0]: r[1] for r in d.select("doc_id", "text").collect()}
+    names = sorted({w for t in texts.values() for w in re.findall(r"\w+", t.lower())})
+    new = {w for w, h in zip(names, kernel.Words(pa.array([" ".join(names)])).hashes().view(np.int64).tolist()) if h in learned} - set(toxicity._CLASS)
+    lexicon = toxicity.LEXICON | {toxicity.INSULT: " ".join([toxicity.LEXICON[toxicity.INSULT], *new])}
+    got = {r["doc_id"]: round(r["score"], 3) for r in toxicity.scores(d, l).collect()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "LEXICON", lexicon)
+        assert got == {i: brute_score(t) for i, t in texts.items()} and sum(v >= toxicity.THRESHOLD for v in got.values()) > 3
+
+
+def test_a_tie_is_toxic(spark):
+    texts = ["Idiot. Not an idiot. Not an idiot.", "Idiot. Not an idiot."]
+    out = {r["doc_id"]: r["score"] for r in toxicity.scores(docs(spark, texts), spark.createDataFrame([], "doc_id long, toxic int")).collect()}
+    assert out == {0: toxicity.THRESHOLD, 1: 1.25}
+
+
+def test_copies_and_neighbours_teach_nothing(spark):
+    """Twelve copies that begin with a word give it one context, whatever rows stand between them."""
+    rng = random.Random(2)
+    bad, clean = "zorgu and a thing", [" ".join(f"c{rng.randrange(400)}" for _ in range(12)) for _ in range(12)]
+    texts = [t for c in clean for t in (c, bad)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int")
+    for d in (docs(spark, texts).coalesce(1), docs(spark, texts[1::2] + texts[::2], [*range(1, 24, 2), *range(0, 24, 2)]).repartition(3)):
+        assert toxicity.learn(d, labels, Scratch(spark)) == []
 
 
 def test_grammar_meaning():
     you, alone, negated, quoted, threat, weapon = run(["You are an idiot.", "idiot", "You are not an idiot.", "He said you idiot", "I will kill you", "they kill time slowly over there and later"])
     assert you > toxicity.THRESHOLD > alone > negated and quoted < alone and threat > toxicity.THRESHOLD and weapon <= threat
     assert run(["a zorgu and a zorgu"], ["zorgu"]) == [2.0] and run(["", None]) == [0.0, 0.0]
+    assert run(["You waste of space.", "a waste of the space", "I will make you pay", "make you a pay", "not a brain dead", "this guy is an idiot", "That garbage!"], ["garbage"]) == [1.6, 0.0, 1.9, 0.0, 0.25, 1.6, 1.0]
 
 
 def test_toxicity_learns_words(spark, odd, empty):
