@@ -2,18 +2,22 @@
 
 Four statistics of each whole text, shrunk towards a usual value so that short texts aren't outliers by chance, and
 transformed: logit of the share of symbols, logit of the share of capitals, logarithm of the mean word length, square
-root of the share of repeated word 4-grams. For each group a fast MCD: medians and median deviations start it,
-concentration steps keep the 75 % of rows with the smallest distances, and a reweighting step ends it. A text is
+root of the share of repeated word 4-grams. For each group a minimum covariance determinant over SUBSET of its rows:
+three deterministic starts (median deviations alone, and with the correlations of spatial signs and of hyperbolic
+tangents), two concentration steps from each, the start of the least determinant goes on for STEPS more, and a
+reweighting step over rows within the 0.975 quantile ends it, its covariance corrected for the cut tails. A text is
 rejected if its squared Mahalanobis distance exceeds the chi-square quantile at 1 - 1e-11: so far out that among a
-hundred thousand million Gaussian rows one is expected, since what is rejected is lost.
+hundred thousand million Gaussian rows one is expected, since what is rejected is lost. (FLOOR, added to the deviations
+so that constant statistics don't make the covariance singular, makes the rate lower still.)
 
 All steps run over all rows: a step is one aggregation of moments by group and by a fine bin of the distance, so the
-rows never move, the subset's border is the bin's edge, and the result doesn't depend on partitioning. A variance
-floor keeps constant statistics from making the covariance singular. Groups of fewer than MIN_GROUP rows are pooled by
-language, and what is still fewer over all.
+rows never move, the subset's border is the bin's edge, and the result doesn't depend on partitioning. Groups of
+fewer than `min_group` rows (a covariance of four statistics needs so many) are pooled by language, and what is still
+fewer over all.
 
 Null languages and sources are groups of their own. Texts without visible characters (null, empty, blank) are
-rejected. Repeated rows count each. An empty table gives no rows. Other columns aren't read.
+rejected. Very long texts are measured whole. A distance equal to the cut is kept. Repeated rows count each. An empty
+table gives no rows. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +35,12 @@ from .runtime import IDENTITY, Scratch, identity, ship, source_folder, spread, t
 
 STATS = ["symbols", "capitals", "word_length", "repetition"]
 FLOOR = np.array([0.05, 0.05, 0.02, 0.05])
-SUBSET, STEPS, MIN_GROUP = 0.75, 6, 100
+SUBSET, STEPS, MIN_GROUP = 0.75, 4, 100
+STARTS = 3
 #: Quantiles of the chi-square distribution with four degrees of freedom: median, 0.975, 1 - 1e-11.
 MEDIAN4, REWEIGHT4, CUT4 = 3.3567, 11.1433, 57.45
+#: A covariance of the rows within REWEIGHT4 is too small by this: 0.975 over the chi-square probability with six degrees of freedom.
+CONSISTENT = 0.975 / 0.915956
 _CAPITAL = np.array([65 <= i < 91 for i in range(256)])
 _P = len(STATS)
 _BIN = 32.0
@@ -75,15 +82,15 @@ def _distance() -> Column:
     return F.greatest(out, F.lit(0.0))
 
 
-_PARAMS = "grp string, mu array<double>, inv array<double>, scale double"
+_PARAMS = "grp string, start int, mu array<double>, inv array<double>, det double"
 
 
-def _params(grp, mu, cov, scale=1.0) -> dict:
-    return {"grp": grp, "mu": mu.tolist(), "inv": np.linalg.inv(cov).ravel().tolist(), "scale": float(scale)}
+def _params(grp, start, mu, cov) -> dict:
+    return {"grp": grp, "start": int(start), "mu": mu.tolist(), "inv": np.linalg.inv(cov).ravel().tolist(), "det": float(np.linalg.slogdet(cov)[1])}
 
 
-def start(bins: pd.DataFrame) -> pd.DataFrame:
-    """Weighted medians and median deviations from a histogram (grp, k, bin, n) of one group."""
+def center(bins: pd.DataFrame) -> pd.DataFrame:
+    """Medians and median deviations from a histogram (grp, k, bin, n) of one group."""
     mu, sd = np.zeros(_P), np.zeros(_P)
     for k, part in bins.groupby("k"):
         v, n = part["bin"].to_numpy() * 0.005, part["n"].to_numpy()
@@ -93,23 +100,38 @@ def start(bins: pd.DataFrame) -> pd.DataFrame:
         d = abs(v - mu[k])
         o = np.argsort(d, kind="stable")
         sd[k] = 1.4826 * d[o][np.searchsorted(np.cumsum(n[o]), half)]
-    return pd.DataFrame([_params(bins["grp"].iloc[0], mu, np.diag(np.maximum(sd, FLOOR) ** 2))])
+    return pd.DataFrame([{"grp": bins["grp"].iloc[0], "mu": mu, "sd": np.maximum(sd, FLOOR)}])
+
+
+def begin(m: pd.DataFrame) -> pd.DataFrame:
+    """The starts of one group, from mu, sd and the sums of products of signs (u) and tangents (t)."""
+    row = m.iloc[0]
+    mu, sd, out = np.array(row["mu"]), np.array(row["sd"]), []
+    for k, kind in enumerate(["", "u", "t"]):
+        r = np.eye(_P)
+        if kind:
+            for i in range(_P):
+                for j in range(i, _P):
+                    r[i, j] = r[j, i] = row[f"{kind}{i}_{j}"]
+            d = np.sqrt(np.maximum(np.diag(r), 1e-12))
+            r = 0.95 * r / np.outer(d, d) + 0.05 * np.eye(_P)
+            r[np.diag_indices(_P)] = 1.0
+        out.append(_params(row["grp"], k, mu, r * np.outer(sd, sd)))
+    return pd.DataFrame(out)
 
 
 def concentrate(share: float | None):
-    """A step from moments (by bin of the distance) to the next estimate: over the nearest share of rows; None: reweighting."""
+    """A step from moments (by bin of the distance) of one group and start to the next estimate: over the nearest share of rows; None: reweighting."""
 
     def step(m: pd.DataFrame) -> pd.DataFrame:
         m = m.sort_values("bin")
         n = m["n"].to_numpy()
         upper = np.exp2((m["bin"].to_numpy() + 1) / _BIN)
         if share is None:
-            scale = max(upper[np.searchsorted(np.cumsum(n), n.sum() / 2)] / MEDIAN4, 1e-9)
-            take = upper <= REWEIGHT4 * scale
+            take = upper <= REWEIGHT4 * max(upper[np.searchsorted(np.cumsum(n), n.sum() / 2)] / MEDIAN4, 1e-9)
             if not take.any():
                 take[0] = True
         else:
-            scale = 1.0
             take = np.arange(len(n)) <= np.searchsorted(np.cumsum(n), share * n.sum())
         total = n[take].sum()
         first = np.array([m[f"s{i}"].to_numpy()[take].sum() for i in range(_P)]) / total
@@ -117,12 +139,13 @@ def concentrate(share: float | None):
         for i in range(_P):
             for j in range(i, _P):
                 cov[i, j] = cov[j, i] = m[f"s{i}_{j}"].to_numpy()[take].sum() / total - first[i] * first[j]
-        return pd.DataFrame([_params(m["grp"].iloc[0], np.array(m["mu"].iloc[0]) + first, cov + np.diag(FLOOR**2))])
+        cov = cov * (CONSISTENT if share is None else 1.0) + np.diag(FLOOR**2)
+        return pd.DataFrame([_params(m["grp"].iloc[0], m["start"].iloc[0], np.array(m["mu"].iloc[0]) + first, cov)])
 
     return step
 
 
-def distances(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str, Scratch]:
+def distances(spark: SparkSession, docs: DataFrame, min_group: int = MIN_GROUP) -> tuple[DataFrame, str, Scratch]:
     """One row for each document: me, grp, statistics, d2, keep; and the path read."""
     ship(spark)
     scratch = Scratch(spark)
@@ -133,18 +156,27 @@ def distances(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str, Scr
     kinds = f"me {IDENTITY}, lang_key string, source_key string, n_words long, " + ", ".join(f"{s} double" for s in STATS)
     rows = scratch.write(spread(rows).mapInArrow(statistics, kinds), "statistics")
     sizes = rows.where("n_words > 0").groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") < MIN_GROUP).groupBy("lang_key").agg(F.sum("n").alias("pooled"))
-    grp = F.when(F.col("n") >= MIN_GROUP, F.concat_ws(" ", "lang_key", "source_key")).when(F.col("pooled") >= MIN_GROUP, F.concat_ws(" ", "lang_key", F.lit("*"))).otherwise(F.lit("*"))
+    small = sizes.where(F.col("n") < min_group).groupBy("lang_key").agg(F.sum("n").alias("pooled"))
+    grp = F.when(F.col("n") >= min_group, F.concat_ws(" ", "lang_key", "source_key")).when(F.col("pooled") >= min_group, F.concat_ws(" ", "lang_key", F.lit("*"))).otherwise(F.lit("*"))
     names = scratch.write(sizes.join(small, "lang_key", "left").select("lang_key", "source_key", grp.alias("grp")), "groups")
     rows = rows.join(names, ["lang_key", "source_key"], "left").select("me", "grp", "n_words", *STATS)
     used = rows.where("n_words > 0")
+    pairs = [(i, j) for i in range(_P) for j in range(i, _P)]
     bins = used.select("grp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.col(s) / 0.005).cast("long").alias("bin")) for k, s in enumerate(STATS)])).alias("b")).groupBy("grp", "b.k", "b.bin").agg(F.count("*").alias("n"))
-    params = scratch.write(bins.groupBy("grp").applyInPandas(start, _PARAMS), "params")
-    sums = [F.sum(_deviation(i)).alias(f"s{i}") for i in range(_P)] + [F.sum(_deviation(i) * _deviation(j)).alias(f"s{i}_{j}") for i in range(_P) for j in range(i, _P)]
-    for share in [SUBSET] * STEPS + [None]:
+    middle = scratch.write(bins.groupBy("grp").applyInPandas(center, "grp string, mu array<double>, sd array<double>"), "centers")
+    z = [_deviation(i) / F.col("sd")[i] for i in range(_P)]
+    far = F.greatest(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0])), F.lit(1e-9))
+    shaped = used.join(middle, "grp").select("grp", "mu", "sd", *[(x / far).alias(f"u{i}") for i, x in enumerate(z)], *[F.tanh(x).alias(f"t{i}") for i, x in enumerate(z)])
+    products = [F.sum(F.col(f"{k}{i}") * F.col(f"{k}{j}")).alias(f"{k}{i}_{j}") for k in "ut" for i, j in pairs]
+    params = scratch.write(shaped.groupBy("grp").agg(F.first("mu").alias("mu"), F.first("sd").alias("sd"), *products).groupBy("grp").applyInPandas(begin, _PARAMS), "params")
+    sums = [F.sum(_deviation(i)).alias(f"s{i}") for i in range(_P)] + [F.sum(_deviation(i) * _deviation(j)).alias(f"s{i}_{j}") for i, j in pairs]
+    for k, share in enumerate([SUBSET] * (2 + STEPS) + [None]):
         near = used.join(params, "grp").withColumn("bin", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * _BIN).cast("long"))
-        moments = near.groupBy("grp", "bin").agg(F.count("*").alias("n"), F.first("mu").alias("mu"), *sums)
-        params = scratch.write(moments.groupBy("grp").applyInPandas(concentrate(share), _PARAMS), "params")
+        moments = near.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), F.first("mu").alias("mu"), *sums)
+        found = moments.groupBy("grp", "start").applyInPandas(concentrate(share), _PARAMS)
+        if k == 1:  # one of the starts goes on
+            found = found.groupBy("grp").agg(F.min_by(F.struct("start", "mu", "inv", "det"), F.struct("det", "start")).alias("p")).select("grp", "p.*")
+        params = scratch.write(found, "params")
     out = rows.join(params, "grp", "left").select("me", "grp", "n_words", *STATS, _distance().alias("d2"))
     return out.withColumn("keep", F.coalesce((F.col("n_words") > 0) & (F.col("d2") <= CUT4), F.lit(False))), path, scratch
 

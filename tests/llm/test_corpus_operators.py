@@ -284,23 +284,48 @@ def test_quality_finds_planted_junk(spark):
     assert sum(keep[i] for i in range(600)) >= 598 and not any(keep[i] for i in range(600, 633))
 
 
-def test_mcd_against_numpy(spark):
-    """Distances equal those of concentration steps over all rows in memory, up to the width of a bin."""
-    rng = np.random.default_rng(1)
-    texts = [" ".join("x" * rng.integers(2, 9) + ("," if rng.random() < 0.1 else "") for _ in range(int(rng.integers(20, 200)))) for _ in range(400)]
-    out, _, _ = quality.distances(spark, docs(spark, texts))
-    pdf = out.toPandas()
-    x, d2 = pdf[quality.STATS].to_numpy(), pdf["d2"].to_numpy()
-    mu = np.median(x, axis=0)
-    cov = np.diag(np.maximum(1.4826 * np.median(abs(x - mu), axis=0), quality.FLOOR) ** 2)
-    far = lambda: np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
-    for _ in range(quality.STEPS):
-        near = np.argsort(far())[: int(np.ceil(quality.SUBSET * len(x)))]
-        mu, cov = x[near].mean(0), np.cov(x[near].T, bias=True) + np.diag(quality.FLOOR**2)
-    d = far()
+def brute_mcd(x, rng):
+    """Fast MCD in memory: the least determinant of many random starts, each concentrated until nothing changes, then reweighted."""
+    h, best = int(np.ceil(quality.SUBSET * len(x))), (np.inf, None)
+    far = lambda mu, cov: np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+    floor = np.diag(quality.FLOOR**2)
+    for _ in range(100):
+        near, last = rng.choice(len(x), 10, replace=False), None
+        while last is None or set(near) != set(last):
+            mu, cov = x[near].mean(0), np.cov(x[near].T, bias=True) + floor
+            near, last = np.argsort(far(mu, cov), kind="stable")[:h], near
+        if np.linalg.det(cov) < best[0]:
+            best = np.linalg.det(cov), (mu, cov)
+    d = far(*best[1])
     near = d <= quality.REWEIGHT4 * np.median(d) / quality.MEDIAN4
-    mu, cov = x[near].mean(0), np.cov(x[near].T, bias=True) + np.diag(quality.FLOOR**2)
-    assert np.median(abs(far() - d2) / np.maximum(d2, 0.5)) < 0.05
+    return far(x[near].mean(0), np.cov(x[near].T, bias=True) * quality.CONSISTENT + floor)
+
+
+def test_mcd_of_each_group_against_many_random_starts(spark):
+    """Groups by language and source, one pooled by language and one over all; a fifth of each is contaminated."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for lang, source, n, p in [("en", "a", 150, 0.1), ("en", "b", 150, 0.3), ("de", "a", 130, 0.05), ("fr", "c", 70, 0.2), ("fr", "d", 60, 0.2), ("es", "e", 20, 0.1), (None, None, 90, 0.15)]:
+        for _ in range(n):
+            odd = rng.random() < 0.2
+            words = ["X" * int(rng.integers(6, 9)) if odd and rng.random() < 0.5 else "x" * int(rng.integers(2, 9)) for _ in range(int(rng.integers(20, 200)))]
+            rows.append((len(rows), " ".join(w + ("," if rng.random() < p else "") for w in words), lang, source, 1.0, 5))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, d2 double, n_words long")
+    pdf = quality.distances(spark, d)[0].toPandas()
+    assert sorted(pdf.groupby("grp").size()) == [110, 130, 130, 150, 150]
+    for _, part in pdf.groupby("grp"):
+        x, want = part[quality.STATS].to_numpy(), None
+        want = brute_mcd(x, rng)
+        got = part["d2"].to_numpy()
+        assert np.median(abs(got - want) / np.maximum(want, 0.5)) < 0.1
+        assert ((got > quality.CUT4) == (want > quality.CUT4)).mean() > 0.98
+
+
+def test_consistency_factor():
+    """Gaussian rows cut at the 0.975 quantile have a covariance too small by the factor."""
+    x = np.random.default_rng(0).normal(size=(400_000, 4))
+    near = x[(x**2).sum(1) <= quality.REWEIGHT4]
+    assert abs(near.var() * quality.CONSISTENT - 1) < 0.01 and abs(len(near) / len(x) - 0.975) < 0.002
 
 
 def test_quality_odd(spark):
@@ -308,7 +333,8 @@ def test_quality_odd(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     out = {(r["me"]["doc_id"], r["n_words"]): r["keep"] for r in quality.distances(spark, d)[0].collect()}
     assert len(out) == 6 and not out[4, 0] and not out[5, 0] and out[1, 3]
-    assert quality.stage(spark, d, "").columns == d.columns
+    clash = d.selectExpr("*", "1 as me", "'g' as grp", "2 as n_words", "0.5 as d2", "true as keep", "3 as mu", "4 as symbols")
+    assert quality.stage(spark, d, "").columns == d.columns and quality.stage(spark, clash, "").columns == clash.columns
     none = spark.createDataFrame([], d.schema)
     assert quality.stage(spark, none, "").count() == 0
 
