@@ -12,7 +12,9 @@ first, until all members left in a bucket are of one group. Groups are the conne
 
 Texts are compared in lower case, by their words (letters, digits, underscore). A text without words, empty or null,
 is no near-duplicate of anything. Exact copies are near-duplicates with similarity 1. The document with the
-smallest doc_id stays (nulls last, then by file and row). Repeated rows are copies. Empty tables give no rows.
+smallest doc_id stays (nulls last, then by file and row); at equal similarities nothing is chosen, since groups are
+components. Repeated rows are copies. Very long texts are compared as a whole, all their shingles with all. Empty
+tables give no rows. Columns beside `doc_id` and `text` aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +29,11 @@ from pyspark.sql.window import Window
 
 from .components import components
 from .kernel import Words, list_array, segmented_min, shingles, slices
-from .runtime import BROADCAST_ROWS, IDENTITY, Scratch, identity, semi, ship, source_folder, spread, table, without
+from .runtime import IDENTITY, Scratch, identity, semi, ship, source_folder, spread, table, without
 
 SHINGLE, THRESHOLD = 3, 0.5
 COLLECTIONS, WIDTH = 28, 3
 LEADERS = 4
-#: A candidate goes to verification if its 84 minhashes agree in this share at least: three standard deviations below the threshold.
-ESTIMATE = THRESHOLD - 3 * (THRESHOLD * (1 - THRESHOLD) / (COLLECTIONS * WIDTH)) ** 0.5
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1 << 31, dtype=np.uint32, size=COLLECTIONS * WIDTH) * np.uint32(2) + np.uint32(1)
@@ -106,7 +106,7 @@ def verified(pairs: DataFrame, contents: DataFrame, scan: DataFrame, scratch: Sc
 
 
 def matches(contents: DataFrame, scan: DataFrame, scratch: Scratch) -> DataFrame:
-    """Verified pairs (a, b), of which every pair of a bucket is one or is joined by them or isn't similar; contents: rid, sig, me; scan: text, me."""
+    """Verified pairs (a, b): every pair of a bucket is one of them, or is joined by them, or isn't similar; contents: rid, sig, me; scan: text, me."""
     m = COLLECTIONS
     value = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.xxhash64(F.slice("sig", i * WIDTH + 1, WIDTH)))
     single = contents.select("rid", F.posexplode(value).alias("i", "v"))
@@ -131,13 +131,7 @@ def matches(contents: DataFrame, scan: DataFrame, scratch: Scratch) -> DataFrame
         first = ranks.where(F.col("r") <= leaders)
         pairs = first.toDF("bucket", "a", "ca", "ra").join(ranks.toDF("bucket", "b", "cb", "rb"), "bucket").where("ra < rb and ca != cb")
         tried = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-        few = tried.count() <= BROADCAST_ROWS // 20  # a row carries a signature
-        agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        side = lambda c: contents.select(F.col("rid").alias(c), F.col("sig").alias(f"sig_{c}"))
-        hint = F.broadcast if few else lambda df: df
-        signed = side("b").join(hint(side("a").join(hint(tried), "a")), "b")
-        close = scratch.write(signed.where(agree >= ESTIMATE * COLLECTIONS * WIDTH).select("a", "b"), "close")
-        same = scratch.write(verified(close, contents, scan, scratch), "same")
+        same = scratch.write(verified(tried, contents, scan, scratch), "same")
         edges = same if edges is None else scratch.write(edges.union(same).distinct(), "edges")
         rest = ranked.where((F.col("r") > leaders) & (F.col("size") > leaders + 1)).select("bucket", "rid")
         if not rest.limit(1).count():
@@ -146,7 +140,7 @@ def matches(contents: DataFrame, scan: DataFrame, scratch: Scratch) -> DataFrame
         of = Window.partitionBy("bucket")
         rest = rest.withColumn("lo", F.min("component").over(of)).withColumn("hi", F.max("component").over(of)).where("lo != hi")
         left = scratch.write(rest.select("bucket", "rid", "component"), "left")
-        for done in (ranked, tried, close):
+        for done in (ranked, tried):
             scratch.drop(done)
         leaders *= 4
         if not left.limit(1).count():
