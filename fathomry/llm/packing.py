@@ -1,20 +1,29 @@
 """Related-document packing: a nearest-neighbour graph, greedy low-degree-first paths, windows filled along the paths.
 
-Documents are related by the passages that they share: fingerprints are the minima of word 8-gram hashes in every
-stretch of 32 grams, so that any common passage of 39 words gives a common fingerprint. Similarity is the Jaccard
-similarity of fingerprint sets. Documents that share a passage (all its fingerprints have the same documents) are
-compared completely up to LINKS + 1 of them; in larger groups each is first compared with the LINKS that follow it in
-an order that brings similar ones together and with the LINKS of the fewest fingerprints, and so again among those that
-share two such passages. Then each is compared with all that, by sizes and remaining passages, may be more similar than
-the last of its NEIGHBOURS so far. Each document keeps its NEIGHBOURS most similar, exactly (of equals any).
-
-A path starts at the unvisited document with the fewest neighbours (ties: the first row) and goes on to the most
-similar unvisited neighbour until there is none. A document without neighbours is a path by itself. Paths follow one
-another in packs of about PACK tokens; windows of WINDOW tokens (words) are cut along them, and a document that
-crosses a border goes on in the next window.
-
-A component is walked as a whole in one task, whatever its size. Null, empty and blank texts have no tokens and are in no window. Repeated rows are documents of their own,
-neighbours of one another. A null doc_id is kept as null. Empty tables give no rows. Other columns aren't read.
+Documents are related by their key terms: the TERMS rarest words of a document among those that other documents have,
+too (in lower case; ties by hash). Document frequencies are counted over all documents: those of the FREQUENT most
+frequent words are sent to all tasks, the others are counted where their occurrences meet. Similarity is the Jaccard
+similarity of the sets of key terms. Near copies share most of them, documents with a rare passage many, documents on
+one rare subject some. Documents that share a class of terms (all its terms have the same documents) are compared
+completely up to LINKS + 1 of them; in larger classes each is first compared with the LINKS that follow it in an order
+that brings similar ones together and with the LINKS of the fewest terms, and so again among those that share two such
+classes. Then each is compared with all that, by sizes and remaining classes, may be more similar than the last of its
+NEIGHBOURS so far. Each document keeps its NEIGHBOURS most similar, exactly (of equals those of the least hash of the pair).
+
+Paths are grown from the edges in one order: low degree first (the lesser of the two documents' numbers of
+neighbours), then the most similar, then the hash of the pair. An edge is taken if it joins the ends of two paths. A
+walk from document to document is the same greed but needs a component in one task, and nearly all documents are one
+component; so in each round every path names its first edge, and edges that both their paths name are taken, which
+gives what taking all edges in their order would. Rounds go on until at most FINISH edges are left, which one
+task takes in their order. A document without neighbours is a path by itself.
+
+Paths follow one another in packs of about PACK tokens; windows of WINDOW tokens (words) are cut along them, and a
+document that crosses a border goes on in the next window.
+
+Null, empty and blank texts have no tokens and are in no window. Very long texts are read whole and fill windows of
+their own. Repeated rows are documents of their own, neighbours of one another. Documents are numbered by doc_id (nulls
+last), file and row, so that the result doesn't depend on partitions. A null doc_id is kept as null. Empty tables give
+no rows. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,67 +36,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import components
-from .kernel import VISIBLE, Words, list_array, mix, segmented_min, shingles, slices
-from .runtime import Scratch, ship, spread, table
+from .kernel import VISIBLE, Words, list_array, slices
+from .runtime import IDENTITY, Scratch, identity, numbered, ship, source_folder, spread, table
 
-GRAM, STRETCH = 8, 32
+TERMS, FREQUENT = 8, 1 << 18
 LINKS, NEIGHBOURS = 8, 5
+FINISH = 2_000_000
 WINDOW, PACK = 2048, 1 << 21
 
 
-def winnow(h: np.ndarray, n: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the minima (the last of equals) of all runs of `stretch` hashes within each row; rows with fewer give their minimum."""
-    row = np.repeat(np.arange(len(n)), n)
-    if not len(h):
-        return np.zeros(0, np.int64), np.zeros(len(n), np.int64)
-    best, width = np.arange(len(h)), 1
-    value = h.copy()
-    # Minima of runs of doubling width, then of two that overlap: 2 log2(stretch) vector steps.
-    while width * 2 <= stretch:
-        other = np.minimum(np.arange(len(h)) + width, len(h) - 1)
-        take = value[other] <= value
-        best, value, width = np.where(take, best[other], best), np.where(take, value[other], value), width * 2
-    if width < stretch:
-        other = np.minimum(np.arange(len(h)) + stretch - width, len(h) - 1)
-        take = value[other] <= value
-        best = np.where(take, best[other], best)
-    first = np.cumsum(n) - n
-    inside = np.arange(len(h)) - first[row] <= np.maximum(n[row] - stretch, 0)
-    inside &= n[row] >= stretch
-    short = np.flatnonzero((n > 0) & (n < stretch))
-    low = segmented_min(h, n, np.iinfo(np.uint64).max)
-    is_low = (h == low[row]) & np.isin(row, short)
-    at = np.unique(np.concatenate([best[inside], np.flatnonzero(is_low)]))
-    return at, np.bincount(row[at], minlength=len(n))
-
-
-def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, tokens, order (the least fingerprint hash), n (fingerprints), prints."""
+def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """me, tokens, words: the hashes of the distinct words, sorted."""
     for batch in slices(batches):
         tokens = Words(batch.column("text"), VISIBLE, lower=False).count
         w = Words(batch.column("text"))
-        g, n = shingles(w.hashes(), w.count, GRAM)
-        at, count = winnow(g, n, STRETCH)
-        row = np.repeat(np.arange(len(count)), count)
-        key = np.unique(np.stack([row.astype(np.uint64), g[at]], axis=1), axis=0)
-        count = np.bincount(key[:, 0].astype(np.int64), minlength=len(count))
-        order = segmented_min(mix(key[:, 1]), count, 0).view(np.int64)
-        lists = list_array(key[:, 1].view(np.int64), count, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens), pa.array(order), pa.array(count), lists], ["doc_id", "tokens", "ord", "n", "prints"])
+        h, row = w.hashes(), w.row
+        o = np.lexsort((h, row))
+        h, row = h[o], row[o]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
+        lists = list_array(h[new].view(np.int64), np.bincount(row[new], minlength=batch.num_rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("me"), pa.array(tokens), lists], ["me", "tokens", "words"])
+
+
+def word_counts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """word, n: partial sums over about `limit` words at once."""
+    words, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], ["word", "n"])
+
+    for batch in batches:
+        more = np.asarray(batch.column("words").flatten(), dtype=np.int64)
+        both, which = np.unique(np.concatenate([words, more]), return_inverse=True)
+        counts = np.bincount(which, weights=np.concatenate([counts, np.ones(len(more), np.int64)]), minlength=len(both)).astype(np.int64)
+        words = both
+        if len(words) > limit:
+            yield out()
+            words, counts = words[:0], counts[:0]
+    yield out()
+
+
+def candidates(batches: Iterator[pa.RecordBatch], known: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """t, word, df: of each document all words that aren't known (df 0), and of the known ones the TERMS rarest that others have, too."""
+    for batch in batches:
+        lists = batch.column("words")
+        n = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+        word, row = np.asarray(lists.flatten(), dtype=np.int64), np.repeat(np.arange(len(n)), n)
+        at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
+        found = known[at] == word if len(known) else np.zeros(len(word), bool)
+        f = np.where(found, df[at], 0) if len(known) else np.zeros(len(word), np.int64)
+        some = np.flatnonzero(found & (f > 1))
+        some = some[np.lexsort((word[some], f[some], row[some]))]
+        first = np.searchsorted(row[some], np.arange(len(n)))
+        some = some[np.arange(len(some)) - first[row[some]] < TERMS]
+        take = np.concatenate([np.flatnonzero(~found), some])
+        yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(row[take])), pa.array(word[take]), pa.array(f[take])], ["t", "word", "df"])
+
+
+def key_terms(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> DataFrame:
+    """rid, doc_id, tokens, ord (the least hash of a term), n, terms of all documents with tokens."""
+    spark = docs.sparkSession
+    scan = spark.read.parquet(source_folder(docs, scratch))
+    texts = spread(scan.select("text", identity(scan).alias("me")))
+    lists = texts.mapInArrow(word_lists, f"me {IDENTITY}, tokens long, words array<long>").where("tokens > 0")
+    lists = scratch.write(lists.withColumn("t", F.monotonically_increasing_id()), "words")
+    counts = lists.select("words").mapInArrow(word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("df"))
+    top = counts.orderBy(F.desc("df"), "word").limit(frequent).toPandas().sort_values("word")  # 16 bytes for each of `frequent` words
+    known = spark.sparkContext.broadcast((top["word"].to_numpy(), top["df"].to_numpy()))
+    found = lists.select("t", "words").mapInArrow(lambda b: candidates(b, *known.value), "t long, word long, df long")
+    found = scratch.write(found, "candidates")
+    rare = found.where("df = 0").select("t", "word").withColumn("df", F.count("*").over(Window.partitionBy("word"))).where("df > 1")
+    chosen = found.where("df > 0").unionByName(rare).groupBy("t").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "word"))), 1, TERMS).alias("k")).select("t", F.col("k.word").alias("terms"))
+    rows = lists.select("t", "me", "tokens").join(chosen, "t", "left")
+    rows = rows.select("me", "tokens", F.coalesce("terms", F.array().cast("array<long>")).alias("terms"))
+    rows = numbered(rows, "me", "rid", scratch)
+    order = F.coalesce(F.array_min(F.transform("terms", lambda x: F.xxhash64(x))), F.lit(0))
+    return scratch.write(rows.select("rid", F.col("me.doc_id").alias("doc_id"), "tokens", order.alias("ord"), F.size("terms").cast("long").alias("n"), "terms"), "terms")
 
 
 def neighbours(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b, similarity: each document's nearest; rows: rid, ord, n, prints."""
-    # Fingerprints with the same documents are one passage: class, with its number of fingerprints in w.
-    post = rows.select("rid", F.explode("prints").alias("p"))
+    """a, b, similarity: each document's nearest; rows: rid, ord, n, terms."""
+    # Terms with the same documents are one class, with its number of terms in w.
+    post = rows.select("rid", F.explode("terms").alias("p"))
     of = Window.partitionBy("p")
     mark = [F.bit_xor(F.xxhash64("rid", F.lit(i))).over(of) for i in range(2)]
     size = F.count("*").over(of)
     shared = post.select("rid", size.alias("df"), F.xxhash64(size, *mark).alias("k")).where("df > 1")
     classes = shared.groupBy("rid", "k").agg(F.count("*").alias("w"), F.first("df").alias("df")).join(rows.select("rid", "ord", "n"), "rid")
-    classes = scratch.write(classes, "passages")
-    # Documents that share two large passages: keys of two that follow one another in a document's list.
+    classes = scratch.write(classes, "classes")
+    # Documents that share two large classes: keys of two that follow one another in a document's list.
     large = classes.where(F.col("df") > LINKS + 1)
     after = F.lead("k").over(Window.partitionBy("rid").orderBy("k"))
     twice = large.withColumn("next", after).where("next is not null").select("rid", "ord", "n", F.xxhash64("k", "next").alias("k"))
@@ -96,7 +133,7 @@ def neighbours(rows: DataFrame, scratch: Scratch) -> DataFrame:
     # Each with those that follow it in the order of likeness: small groups are complete.
     w = Window.partitionBy("k").orderBy("ord", "rid")
     follow = keys.select("rid", F.collect_list("rid").over(w.rowsBetween(1, LINKS)).alias("others")).select("rid", F.explode("others").alias("other"))
-    # In large groups each also with the documents of the fewest fingerprints: at one passage in common they are the most similar.
+    # In large groups each also with the documents of the fewest terms: at one class in common they are the most similar.
     big = keys.where(F.col("df") > LINKS + 1)
     least = big.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "rid"))).where(F.col("r") <= LINKS).select("k", F.col("rid").alias("other"))
     pairs = follow.unionByName(big.join(least, "k").select("rid", "other")).where("rid != other").select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
@@ -107,7 +144,7 @@ def neighbours(rows: DataFrame, scratch: Scratch) -> DataFrame:
     common = F.aggregate(both, F.lit(0).cast("long"), lambda t, k: t + F.element_at("ma", k))
     ratio = (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")
     compare = lambda df: scratch.write(df.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", common.alias("c")).select("a", "b", ratio), "similar")
-    near = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
+    near = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), F.xxhash64(F.least("a", "b"), F.greatest("a", "b")), "b"))
     best = lambda df: df.union(df.select("b", "a", "similarity")).withColumn("r", near).where(F.col("r") <= NEIGHBOURS)
     found = compare(pairs)
     # What is found so far bounds the rest: all pairs that may be more similar than a document's last.
@@ -124,10 +161,10 @@ def neighbours(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within a passage that may be more similar than the `least` that one of them has; a partition holds whole passages.
+    """Pairs within a class that may be more similar than the `least` that one of them has; a partition holds whole classes.
 
-    `rest` is the number of a document's fingerprints in this passage and those after it, passages being in one order
-    (rarest first) for all. The first passage that two documents share bounds what they have in common by both rests.
+    `rest` is the number of a document's terms in this class and those after it, classes being in one order
+    (rarest first) for all. The first class that two documents share bounds what they have in common by both rests.
     """
     parts = list(batches)
     if not sum(p.num_rows for p in parts):
@@ -152,53 +189,119 @@ def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def walk(a: np.ndarray, b: np.ndarray, similarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy low-degree-first paths over undirected edges: node, path (its first node), position."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    s, t, w = np.concatenate([ends[: len(a)], ends[len(a) :]]), np.concatenate([ends[len(a) :], ends[: len(a)]]), np.concatenate([similarity, similarity])
-    o = np.lexsort((t, -w, s))
-    s, t = s[o], t[o]
-    first = np.searchsorted(s, np.arange(len(nodes) + 1))
-    degree = np.diff(first)
-    seen = bytearray(len(nodes))
-    kin, begin = memoryview(t.astype(np.int32)), memoryview(first)  # plain numbers, not objects
-    order, path, place = [], [], []
-    for start in np.lexsort((nodes, degree)).tolist():
-        if seen[start]:
+_PATH = ("label", "round", "size", "head", "tail")
+
+
+def chains(edges: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Takes edges in their order (d, s, h, u, v) if they join ends of two paths: path, label, round, offset, flip of each path that was joined."""
+    o = np.lexsort((edges["v"], edges["u"], edges["h"], edges["s"], edges["d"]))
+    field = lambda side, name: edges[f"{side}_{name}"]
+    label, first, which = np.unique(np.concatenate([field("a", "label"), field("b", "label")]), return_index=True, return_inverse=True)
+    info = {f: np.concatenate([field("a", f), field("b", f)])[first] for f in _PATH}
+    unit_a, unit_b = which[: len(o)], which[len(o) :]
+    single = (info["head"] == info["tail"]).tolist()
+    # The sides of a path: 0 the head, 1 the tail; the one document of a single has both.
+    side_a, side_b = (edges["u"] == info["tail"][unit_a]).astype(int), (edges["v"] == info["tail"][unit_b]).astype(int)
+    root, links = list(range(len(label))), [[-1, -1] for _ in label]
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b, i, j in zip(unit_a[o].tolist(), unit_b[o].tolist(), side_a[o].tolist(), side_b[o].tolist()):
+        if single[a]:
+            i = 1 if links[a][0] >= 0 else 0
+        if single[b]:
+            j = 1 if links[b][0] >= 0 else 0
+        if links[a][i] >= 0 or links[b][j] >= 0:
+            continue
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            links[a][i], links[b][j] = 2 * b + j, 2 * a + i
+    rows: list[tuple] = []
+    done = bytearray(len(label))
+    for start in range(len(label)):
+        if done[start] or (links[start][0] >= 0 and links[start][1] >= 0) or links[start] == [-1, -1]:
             continue
-        now, k = start, 0
-        while now >= 0:
-            seen[now] = 1
-            order.append(now)
-            path.append(start)
-            place.append(k)
-            k += 1
-            now = next((x for x in kin[begin[now] : begin[now + 1]] if not seen[x]), -1)
-    return nodes[order], nodes[path], np.array(place, np.int64)
-
-
-def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All edges of a partition, which holds whole components; they share no nodes, so that one walk does for all."""
+        at, enter, offset, begin = start, 0 if links[start][0] < 0 else 1, 0, len(rows)
+        while True:
+            done[at] = 1
+            rows.append((at, offset, enter == 1))
+            offset += int(info["size"][at])
+            to = links[at][1 - enter]
+            if to < 0:
+                break
+            at, enter = to >> 1, to & 1
+        low = int(label[[r[0] for r in rows[begin:]]].min())
+        rows[begin:] = [(*r, low) for r in rows[begin:]]
+    unit, offset, flip, path = (np.array(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 4
+    return path.astype(np.int64), label[unit.astype(np.int64)], info["round"][unit.astype(np.int64)], offset.astype(np.int64), flip.astype(bool)
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = list(batches)
     if sum(p.num_rows for p in parts):
-        a, b, w = (np.concatenate([np.asarray(p.column(c)) for p in parts]) for c in ("a", "b", "similarity"))
-        node, path, place = walk(a, b, w)
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(path), pa.array(place)], ["rid", "path", "place"])
+        t = pa.Table.from_batches(parts)
+        out = chains({c: t.column(c).to_numpy() for c in t.column_names})
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["path", "label", "round", "offset", "flip"])
 
 
-def pack(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """pack, window, piece, doc_id, path, start_token, end_token (within the document)."""
-    spark = docs.sparkSession
-    ship(spark)
-    scratch = Scratch(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = spread(texts).mapInArrow(prints, "doc_id long, tokens long, ord long, n long, prints array<long>").withColumn("rid", F.monotonically_increasing_id())
-    rows = scratch.write(rows.where("tokens > 0"), "prints")
-    near = neighbours(rows, scratch)
+def cover(edges: DataFrame, scratch: Scratch, finish: int = FINISH) -> DataFrame:
+    """rid, path (its least rid), place of all documents on paths of several; edges: a, b, similarity."""
+    degree = edges.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
+    own = lambda c: F.struct(F.col(c).alias("label"), F.lit(0).alias("round"), F.lit(1).cast("long").alias("size"), F.col(c).alias("head"), F.col(c).alias("tail"))
+    cur = edges.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+    cur = cur.select(F.least("da", "db").alias("d"), (-F.col("similarity")).alias("s"), F.xxhash64("a", "b").alias("h"), F.col("a").alias("u"), F.col("b").alias("v"), own("a").alias("A"), own("b").alias("B"))
+    cur = scratch.write(cur, "open")
+    taken: list[DataFrame] = []
+    while cur.count() > finish:
+        key = F.struct("d", "s", "h", "u", "v", "A", "B").alias("key")
+        best = cur.select(key, F.explode(F.array("A.label", "B.label")).alias("p")).groupBy("p").agg(F.min("key").alias("key"))
+        both = best.groupBy("key").agg(F.count("*").alias("n")).where("n = 2").select("key.*")
+        flip_a, flip_b = F.expr("A.head = u and A.head != A.tail"), F.expr("B.tail = v and B.head != B.tail")
+        head, tail = F.when(flip_a, F.col("A.tail")).otherwise(F.col("A.head")), F.when(flip_b, F.col("B.head")).otherwise(F.col("B.tail"))
+        new = F.struct(F.least("A.label", "B.label").alias("label"), F.lit(len(taken) + 1).alias("round"), F.expr("A.size + B.size").alias("size"), head.alias("head"), tail.alias("tail"))
+        both = scratch.write(both.select("u", "v", "A", "B", flip_a.alias("flip_a"), flip_b.alias("flip_b"), new.alias("C")), "taken")
+        taken.append(both)
+        ends = both.select(F.col("A.label").alias("old"), F.col("u").alias("used"), "C").union(both.select("B.label", "v", "C"))
+        on = lambda side: ends.toDF(f"old_{side}", f"used_{side}", f"new_{side}")
+        left = cur.join(on("a"), F.col("A.label") == F.col("old_a"), "left").join(on("b"), F.col("B.label") == F.col("old_b"), "left")
+        left = left.where(~F.coalesce(F.expr("used_a = u and A.head != A.tail"), F.lit(False)) & ~F.coalesce(F.expr("used_b = v and B.head != B.tail"), F.lit(False)))
+        left = left.select("d", "s", "h", "u", "v", F.coalesce("new_a", "A").alias("A"), F.coalesce("new_b", "B").alias("B")).where("A.label != B.label")
+        rest = scratch.write(left, "open")
+        scratch.drop(cur)
+        cur = rest
+    flat = cur.select("d", "s", "h", "u", "v", *[F.col(f"{side.upper()}.{f}").alias(f"{side}_{f}") for side in "ab" for f in _PATH])
+    found = [scratch.write(flat.coalesce(1).mapInArrow(_chains, "path long, label long, round int, offset long, flip boolean"), "chains")]
+    for n in range(len(taken), 0, -1):  # from the last joins back to documents
+        above = found[0]
+        for f in found[1:]:
+            above = above.unionByName(f)
+        above = above.where(F.col("round") == n)
+        both = taken[n - 1].withColumn("label", F.col("C.label")).join(above, "label", "left")
+        both = both.withColumns({"path": F.coalesce("path", "label"), "offset": F.coalesce("offset", F.lit(0).cast("long")), "flip": F.coalesce("flip", F.lit(False))})
+        part = lambda side, other, first: F.struct(F.col(f"{side}.label").alias("label"), F.col(f"{side}.round").alias("round"), (F.col("offset") + F.when(F.col("flip") == first, F.col(f"{other}.size")).otherwise(0)).alias("offset"), (F.col("flip") != F.col(f"flip_{side.lower()}")).alias("flip"))
+        found.append(scratch.write(both.select("path", F.explode(F.array(part("A", "B", True), part("B", "A", False))).alias("x")).select("path", "x.*"), "parts"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    out = scratch.write(out.where("round = 0").select(F.col("label").alias("rid"), "path", F.col("offset").alias("place")), "placed")
+    # A path begins at the lesser of its ends.
+    ends = out.groupBy("path").agg(F.min_by("rid", "place").alias("head"), F.max_by("rid", "place").alias("tail"), F.max("place").alias("last"))
+    return out.join(ends, "path").select("rid", "path", F.expr("if(head < tail, place, last - place)").alias("place"))
+
+
+def pack(docs: DataFrame, window: int = WINDOW, finish: int = FINISH) -> DataFrame:
+    """pack, window, offset, doc_id, path, place, start_token, end_token (within the document)."""
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    rows = key_terms(docs, scratch)
+    near = neighbours(rows.select("rid", "ord", "n", "terms"), scratch)
     edges = scratch.write(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct(), "graph")
-    label = components(edges.select("a", "b"), scratch)
-    walks = edges.join(label.select(F.col("rid").alias("a"), "component"), "a").repartition("component").select("a", "b", "similarity")
-    walked = scratch.write(walks.mapInArrow(_walks, "rid long, path long, place long"), "walks")
+    walked = scratch.write(cover(edges, scratch, finish), "paths")
     placed = rows.select("rid", "doc_id", "tokens").join(walked, "rid", "left").select("doc_id", "tokens", "rid", F.coalesce("path", "rid").alias("path"), F.coalesce("place", F.lit(0)).alias("place"))
     total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     placed = placed.withColumn("pack", F.pmod(F.xxhash64("path"), F.lit(max(1, -(-total // PACK)))))

@@ -129,6 +129,19 @@ def identity(scan: DataFrame) -> Column:
 IDENTITY = "struct<no_id:boolean,doc_id:long,file:string,row:long>"
 
 
+def numbered(df: DataFrame, by: str, name: str, scratch: Scratch) -> DataFrame:
+    """The rows with their places in the order of a column that is unique, from 0 on without gaps."""
+    sorted_ = df.orderBy(by).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    sorted_ = scratch.write(sorted_, "sorted")
+    sizes = sorted_.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("low")).orderBy("_part").collect()  # a row a partition
+    shifts, so_far = [], 0
+    for r in sizes:
+        shifts.append((r["_part"], so_far - r["low"]))
+        so_far += r["n"]
+    shift = df.sparkSession.createDataFrame(shifts, "_part int, _shift long")
+    return sorted_.join(F.broadcast(shift), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
 def without(spark: SparkSession, docs: DataFrame, path: str, gone: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of the scan of path whose (file, row) isn't in gone, with the columns of docs."""
     names = [f"{c}_{uuid.uuid4().hex}" for c in ("file", "row")]

@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernel import Words, hash_ranges, list_array, mix, shingles, slices
-from .packing import winnow
+from .kernel import Words, hash_ranges, list_array, mix, shingles, slices, winnow
 from .runtime import IDENTITY, Scratch, identity, semi, ship, source_folder, spread, table
 
 LENGTH, GRAM = 50, 12

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from fathomry.llm import kernel, minhash, quality, queries, suffix_dedup
+from fathomry.llm import kernel, minhash, packing, quality, queries, suffix_dedup
 
 from .test_small_operators import LONG, ODD, docs
 
@@ -341,6 +341,30 @@ def test_quality_odd(spark):
     assert quality.stage(spark, none, "").count() == 0
 
 
+# op 3
+
+
+def test_path_neighbours_are_related(spark):
+    """After near copies have gone (by brute force): few documents are alone, and those side by side share far more than others do."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r[0]: r[1] for r in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()}
+    texts = {min(g): texts[min(g)] for g in groups_of(brute_pairs(texts, minhash.THRESHOLD), texts).values()}
+    rows = packing.pack(docs(spark, list(texts.values()), list(texts))).toPandas().drop_duplicates("doc_id")
+    alone = rows.groupby("path").doc_id.transform("size") == 1
+    assert alone.mean() < 0.2, alone.mean()
+    sets = {i: set(re.findall(r"\w+", t.lower())) for i, t in texts.items()}
+    df = collections.Counter(w for s in sets.values() for w in s)
+    weight = lambda s: sum(np.log(len(sets) / df[w]) for w in s)
+    like = lambda a, b: weight(sets[a] & sets[b]) / max(weight(sets[a] | sets[b]), 1e-9)
+    rows = rows.sort_values(["path", "place"])
+    side = [(a, b) for a, b, p, q in zip(rows.doc_id, rows.doc_id[1:], rows.path, rows.path[1:]) if p == q]
+    rng = random.Random(1)
+    ids = list(rows.doc_id)
+    other = [tuple(rng.sample(ids, 2)) for _ in range(len(side))]
+    near, far = np.mean([like(*p) for p in side]), np.mean([like(*p) for p in other])
+    assert near > 3 * far, (near, far)
+
+
 # pipeline
 
 

@@ -488,22 +488,11 @@ def test_secret_stage(spark, odd, empty):
 # op 3
 
 
-def fingerprints(text):
-    w = kernel.Words(pa.array([text]))
-    g, n = kernel.shingles(w.hashes(), w.count, packing.GRAM)
-    g = g.tolist()
-    out = set()
-    if g:
-        for i in range(max(1, len(g) - packing.STRETCH + 1)):
-            out.add(min(g[i : i + packing.STRETCH]))
-    return out
-
-
 def test_winnowing_against_definition():
     rng = random.Random(2)
     for n in (0, 1, 5, 31, 32, 33, 200):
         g = np.array([rng.randrange(50) for _ in range(n)], np.uint64)
-        at, count = packing.winnow(g, np.array([n]), 32)
+        at, count = kernel.winnow(g, np.array([n]), 32)
         want = {min(g[i : i + 32].tolist()) for i in range(max(1, n - 31))} if n else set()
         assert set(g[at].tolist()) == want and count.sum() == len(at)
 
@@ -520,23 +509,41 @@ def related(rng, n=120):
     return out + [" ".join(rng.choice(words) for _ in range(30))]
 
 
-def test_neighbours_recall(spark):
-    texts = related(random.Random(4), 500)
-    from fathomry.llm.packing import prints
+def brute_terms(texts):
+    """The TERMS rarest words of each text that another has, too, and their hashes."""
+    sets = [set(re.findall("[a-z0-9_\x80-\U0010ffff]+", (t or "").lower())) for t in texts]
+    df = collections.Counter(w for s in sets for w in s)
+    names = sorted(df)
+    code = dict(zip(names, kernel.Words(pa.array([" ".join(names)])).hashes().view(np.int64).tolist()))
+    return [{code[w] for w in sorted((w for w in s if df[w] > 1), key=lambda w: (df[w], code[w]))[: packing.TERMS]} for s in sets]
+
 
-    rows = docs(spark, texts).select("doc_id", "text").mapInArrow(prints, "doc_id long, tokens long, ord long, n long, prints array<long>").withColumn("rid", F.col("doc_id"))
+@pytest.mark.parametrize("frequent", [packing.FREQUENT, 40, 0])
+def test_key_terms_against_brute_force(spark, sf, frequent):
+    """Whichever words are sent to the tasks; over a table, and over odd texts."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").unionByName(docs(spark, ODD, range(-1, -12, -1)).select("doc_id", "text", "lang", "source", "n_chars"))
+    texts = {r[0]: r[1] for r in d.select("doc_id", "text").collect()}
+    want = dict(zip(texts, brute_terms(texts.values())))
+    rows = packing.key_terms(d, Scratch(spark), frequent).collect()
+    assert {r["doc_id"]: set(r["terms"]) for r in rows} == {i: want[i] for i, t in texts.items() if (t or "").split()}
+    assert sorted(r["rid"] for r in rows) == list(range(len(rows))) and all(r["n"] == len(r["terms"]) for r in rows)
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["rid"])] == sorted(r["doc_id"] for r in rows)
+
+
+@pytest.mark.parametrize("kind", ["made", "tables"])
+def test_neighbours_against_brute_force(spark, sf, kind):
+    """The similarities of each document's nearest are those of comparing it with all."""
+    texts = related(random.Random(4), 500) if kind == "made" else [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").select("text").collect()]
+    rows = packing.key_terms(docs(spark, texts), Scratch(spark)).persist()
+    terms = {r["rid"]: set(r["terms"]) for r in rows.collect()}
     got = collections.defaultdict(list)
-    for r in packing.neighbours(rows, Scratch(spark)).collect():
-        got[r["a"]].append(r["b"])
-    fp = [fingerprints(t) for t in texts]
-    sim = lambda a, b: len(fp[a] & fp[b]) / max(1, len(fp[a] | fp[b]))
-    found = wanted = 0
-    for i in range(len(texts)):
-        best = sorted((sim(i, j) for j in range(len(texts)) if j != i and fp[i] & fp[j]), reverse=True)[: packing.NEIGHBOURS]
-        have = sorted((sim(i, j) for j in got[i]), reverse=True)
-        wanted += len(best)
-        found += sum(any(h >= b - 1e-9 for h in have[k : k + 1]) for k, b in enumerate(best))
-    assert wanted > 1500 and found / wanted >= 0.9
+    for r in packing.neighbours(rows.select("rid", "ord", "n", "terms"), Scratch(spark)).collect():
+        assert abs(r["similarity"] - len(terms[r["a"]] & terms[r["b"]]) / len(terms[r["a"]] | terms[r["b"]])) < 1e-9
+        got[r["a"]].append(r["similarity"])
+    for i, x in terms.items():
+        best = sorted((len(x & y) / len(x | y) for j, y in terms.items() if j != i and x & y), reverse=True)[: packing.NEIGHBOURS]
+        assert np.allclose(sorted(got[i], reverse=True), best)
+    assert len(got) > 100
 
 
 def test_neighbours_of_many_hot_passages_are_exact(spark):
@@ -547,7 +554,7 @@ def test_neighbours_of_many_hot_passages_are_exact(spark):
         row[rng.choice(30, rng.integers(3, 13), replace=False)] = 1
     own = rng.integers(0, 12, n)
     lists = [[int(100 * c + j) for c in np.flatnonzero(h) for j in range(1 + c % 3)] + [int(10**6 + 100 * i + j) for j in range(own[i])] for i, h in enumerate(hot)]
-    rows = spark.createDataFrame([(i, int(rng.integers(1 << 60)), len(p), p) for i, p in enumerate(lists)], "rid long, ord long, n long, prints array<long>")
+    rows = spark.createDataFrame([(i, int(rng.integers(1 << 60)), len(p), p) for i, p in enumerate(lists)], "rid long, ord long, n long, terms array<long>")
     got = collections.defaultdict(list)
     for r in packing.neighbours(rows, Scratch(spark)).collect():
         got[r["a"]].append(r["similarity"])
@@ -560,21 +567,48 @@ def test_neighbours_of_many_hot_passages_are_exact(spark):
     assert have.shape == want.shape and np.abs(have - want).max() < 1e-9
 
 
-def test_walk_is_low_degree_first():
-    # A star 0-(1,2,3) with 3-4: leaves first, the most similar unvisited neighbour next.
-    node, path, place = packing.walk(np.array([0, 0, 0, 3]), np.array([1, 2, 3, 4]), np.array([0.9, 0.8, 0.7, 0.6]))
-    assert node.tolist() == [1, 0, 2, 4, 3] and path.tolist() == [1, 1, 1, 4, 4] and place.tolist() == [0, 1, 2, 0, 1]
-
-
-def test_components_are_walked_whole(spark, monkeypatch):
-    """A limit on the walked documents, as there was, has no effect: chains of likenesses stay one path."""
-    monkeypatch.setattr(packing, "WALK", 3, raising=False)
-    word = lambda i: [f"w{i}x{k}" for k in range(40 + i)]
-    texts = [" ".join(word(i) + word(i + 1)) for i in range(12)]
-    out = packing.pack(docs(spark, texts)).collect()
-    assert len({r["path"] for r in out}) == 1
-    place = {r["doc_id"]: r["place"] for r in out}
-    assert all(abs(place[i] - place[i + 1]) == 1 for i in range(11))
+def brute_paths(edges, order):
+    """Takes edges in their order where they join ends of two paths."""
+    path = {}
+    for a, b, _ in edges:
+        path[a], path[b] = [a], [b]
+    for a, b, _ in sorted(edges, key=order):
+        x, y = path[a], path[b]
+        if x is y or a not in (x[0], x[-1]) or b not in (y[0], y[-1]):
+            continue
+        x, y = x if x[-1] == a else x[::-1], y if y[0] == b else y[::-1]
+        whole = x + y
+        for n in whole:
+            path[n] = whole
+    return {tuple(min(p, p[::-1])) for p in path.values() if len(p) > 1}
+
+
+@pytest.mark.parametrize("kind", ["random", "chain", "star", "ties"])
+def test_paths_of_rounds_and_of_one_task(spark, kind):
+    """Joined in rounds, in one task, and one by one: the same paths."""
+    rng = random.Random(5)
+    pairs = {"random": {tuple(sorted(rng.sample(range(150), 2))) for _ in range(350)}, "chain": {(i, i + 1) for i in range(60)}, "star": {(0, i) for i in range(1, 40)} | {(50, 51)}, "ties": {(i, j) for i in range(14) for j in range(i)}}[kind]
+    pairs = sorted((min(p), max(p)) for p in pairs)
+    rows = [(a, b, 0.5 if kind == "ties" else rng.choice([0.2, 0.4, 0.6, rng.random()])) for a, b in pairs]
+    edges = spark.createDataFrame(rows, "a long, b long, similarity double").repartition(3)
+    h = {(r["a"], r["b"]): r["h"] for r in edges.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    degree = collections.Counter(x for a, b, _ in rows for x in (a, b))
+    want = brute_paths(rows, lambda e: (min(degree[e[0]], degree[e[1]]), -e[2], h[e[:2]], e[:2]))
+    for finish in (0, 20, 10**6):
+        got = collections.defaultdict(list)
+        for r in packing.cover(edges, Scratch(spark), finish).collect():
+            got[r["path"]].append((r["place"], r["rid"]))
+        for p, v in got.items():
+            assert sorted(x for x, _ in v) == list(range(len(v))) and p == min(x for _, x in v)
+        paths = [[x for _, x in sorted(v)] for v in got.values()]
+        assert {tuple(min(p, p[::-1])) for p in paths} == want, finish
+        assert sum(map(len, paths)) == len({x for p in paths for x in p})
+
+
+def test_packing_does_not_depend_on_files(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    found = [sorted(map(tuple, packing.pack(x, finish=f).collect())) for x, f in ((d, packing.FINISH), (d.repartition(5, "n_chars"), 10))]
+    assert found[0] == found[1] and len(found[0]) > 100
 
 
 def test_packing_fills_windows(spark, odd, empty):
