@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from .kernel import VISIBLE, Words, list_array, slices
 from .runtime import IDENTITY, Scratch, identity, numbered, ship, source_folder, spread, table
 
-TERMS, FREQUENT = 8, 1 << 18
+TERMS, FREQUENT = 8, 1 << 20
 LINKS, NEIGHBOURS = 8, 5
 FINISH = 2_000_000
 WINDOW, PACK = 2048, 1 << 21
@@ -58,14 +58,23 @@ def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("me"), pa.array(tokens), lists], ["me", "tokens", "words"])
 
 
-def word_counts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Slices of about `limit` words."""
+    for batch in batches:
+        n = np.asarray(batch.column("words").value_lengths().fill_null(0), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(n) - n // 2) // limit)) + 1
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
+            yield batch.slice(lo, hi - lo)
+
+
+def word_counts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """word, n: partial sums over about `limit` words at once."""
     words, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def out():
         return pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], ["word", "n"])
 
-    for batch in batches:
+    for batch in _pieces(batches):
         more = np.asarray(batch.column("words").flatten(), dtype=np.int64)
         both, which = np.unique(np.concatenate([words, more]), return_inverse=True)
         counts = np.bincount(which, weights=np.concatenate([counts, np.ones(len(more), np.int64)]), minlength=len(both)).astype(np.int64)
@@ -78,7 +87,7 @@ def word_counts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iter
 
 def candidates(batches: Iterator[pa.RecordBatch], known: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
     """t, word, df: of each document all words that aren't known (df 0), and of the known ones the TERMS rarest that others have, too."""
-    for batch in batches:
+    for batch in _pieces(batches):
         lists = batch.column("words")
         n = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
         word, row = np.asarray(lists.flatten(), dtype=np.int64), np.repeat(np.arange(len(n)), n)
@@ -101,7 +110,16 @@ def key_terms(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> Da
     lists = texts.mapInArrow(word_lists, f"me {IDENTITY}, tokens long, words array<long>").where("tokens > 0")
     lists = scratch.write(lists.withColumn("t", F.monotonically_increasing_id()), "words")
     counts = lists.select("words").mapInArrow(word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("df"))
-    top = counts.orderBy(F.desc("df"), "word").limit(frequent).toPandas().sort_values("word")  # 16 bytes for each of `frequent` words
+    counts = scratch.write(counts.where("df > 1").withColumn("bin", F.floor(16 * F.log2("df")).cast("int")), "counts")
+    # As many bins of the most frequent words as have no more than `frequent` together: 16 bytes a word for the driver and the tasks.
+    least, words = 1 << 30, 0
+    for r in counts.groupBy("bin").agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect():  # a thousand bins at most
+        words += r["n"]
+        if words > frequent:
+            break
+        least = r["bin"]
+    top = counts.where(F.col("bin") >= least).select("word", "df").toPandas().sort_values("word")
+    scratch.drop(counts)
     known = spark.sparkContext.broadcast((top["word"].to_numpy(), top["df"].to_numpy()))
     found = lists.select("t", "words").mapInArrow(lambda b: candidates(b, *known.value), "t long, word long, df long")
     found = scratch.write(found, "candidates")
@@ -110,52 +128,58 @@ def key_terms(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> Da
     rows = lists.select("t", "me", "tokens").join(chosen, "t", "left")
     rows = rows.select("me", "tokens", F.coalesce("terms", F.array().cast("array<long>")).alias("terms"))
     rows = numbered(rows, "me", "rid", scratch)
-    order = F.coalesce(F.array_min(F.transform("terms", lambda x: F.xxhash64(x))), F.lit(0))
+    scratch.drop(lists), scratch.drop(found)
+    order = F.coalesce(F.shiftrightunsigned(F.array_min(F.transform("terms", lambda x: F.xxhash64(x))), 40), F.lit(0))
     return scratch.write(rows.select("rid", F.col("me.doc_id").alias("doc_id"), "tokens", order.alias("ord"), F.size("terms").cast("long").alias("n"), "terms"), "terms")
 
 
 def neighbours(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b, similarity: each document's nearest; rows: rid, ord, n, terms."""
     # Terms with the same documents are one class, with its number of terms in w.
-    post = rows.select("rid", F.explode("terms").alias("p"))
+    post = rows.select("rid", "ord", "n", F.explode("terms").alias("p"))
     of = Window.partitionBy("p")
     mark = [F.bit_xor(F.xxhash64("rid", F.lit(i))).over(of) for i in range(2)]
     size = F.count("*").over(of)
-    shared = post.select("rid", size.alias("df"), F.xxhash64(size, *mark).alias("k")).where("df > 1")
-    classes = shared.groupBy("rid", "k").agg(F.count("*").alias("w"), F.first("df").alias("df")).join(rows.select("rid", "ord", "n"), "rid")
-    classes = scratch.write(classes, "classes")
+    shared = post.select("rid", "ord", "n", size.alias("df"), F.xxhash64(size, *mark).alias("k")).where("df > 1")
+    classes = shared.repartition("rid").groupBy("rid", "ord", "n", "k").agg(F.count("*").alias("w"), F.first("df").alias("df"))
+    classes = scratch.write(classes.withColumn("large", F.max(F.col("df") > LINKS + 1).over(Window.partitionBy("rid"))), "classes")
     # Documents that share two large classes: keys of two that follow one another in a document's list.
     large = classes.where(F.col("df") > LINKS + 1)
     after = F.lead("k").over(Window.partitionBy("rid").orderBy("k"))
     twice = large.withColumn("next", after).where("next is not null").select("rid", "ord", "n", F.xxhash64("k", "next").alias("k"))
-    twice = twice.withColumn("df", F.count("*").over(Window.partitionBy("k"))).where("df > 1")
-    keys = scratch.write(classes.select("k", "rid", "ord", "n", "df").unionByName(twice.select("k", "rid", "ord", "n", "df")), "keys")
-    # Each with those that follow it in the order of likeness: small groups are complete.
+    twice = twice.withColumn("df", F.count("*").over(Window.partitionBy("k"))).where("df > 1").select("k", "rid", "ord", "n", F.lit(0).cast("long").alias("w"), F.lit(True).alias("large"))
+    # Each with those that follow it in the order of likeness. Small classes are complete, so that their terms are summed
+    # here; what two documents have in common in large ones is looked up.
+    small = classes.select("k", "rid", "ord", "n", F.when(F.col("df") > LINKS + 1, 0).otherwise(F.col("w")).alias("w"), "large")
     w = Window.partitionBy("k").orderBy("ord", "rid")
-    follow = keys.select("rid", F.collect_list("rid").over(w.rowsBetween(1, LINKS)).alias("others")).select("rid", F.explode("others").alias("other"))
-    # In large groups each also with the documents of the fewest terms: at one class in common they are the most similar.
-    big = keys.where(F.col("df") > LINKS + 1)
-    least = big.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "rid"))).where(F.col("r") <= LINKS).select("k", F.col("rid").alias("other"))
-    pairs = follow.unionByName(big.join(least, "k").select("rid", "other")).where("rid != other").select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
-    pairs = scratch.write(pairs, "pairs")
-    lists = classes.groupBy("rid").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))
+    me = F.struct("rid", "n", "large")
+    follow = small.unionByName(twice).select(me.alias("x"), "w", F.collect_list(me).over(w.rowsBetween(1, LINKS)).alias("ys")).select("x", "w", F.explode("ys").alias("y"))
+    # In large classes each also with the documents of the fewest terms: at one class in common they are the most similar.
+    least = large.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "rid"))).where(F.col("r") <= LINKS).select("k", me.alias("y"))
+    pairs = follow.unionByName(large.select("k", me.alias("x")).join(least, "k").select("x", F.lit(0).cast("long").alias("w"), "y")).where("x.rid != y.rid")
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "w")
+    about = F.expr("x.n * 16777216 + y.n * 2 + if(x.large and y.large, 1, 0)").alias("about")  # one number moves instead of three
+    pairs = pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), about, "w").groupBy("a", "b", "about").agg(F.sum("w").alias("c"))
+    pairs = scratch.write(pairs.select("a", "b", F.expr("about div 16777216 as na"), F.expr("about div 2 % 8388608 as nb"), F.expr("about % 2 = 1 as both"), "c"), "pairs")
+    lists = large.groupBy("rid").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))
     side = lambda c: lists.select(F.col("rid").alias(c), F.col("n").alias(f"n{c}"), F.col("m").alias(f"m{c}"))
-    both = F.array_intersect(F.map_keys("ma"), F.map_keys("mb"))
-    common = F.aggregate(both, F.lit(0).cast("long"), lambda t, k: t + F.element_at("ma", k))
+    common = F.aggregate(F.array_intersect(F.map_keys("ma"), F.map_keys("mb")), F.lit(0).cast("long"), lambda t, k: t + F.element_at("ma", k))
+    looked_up = lambda df: df.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", (F.col("c") + common).alias("c"))
     ratio = (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")
-    compare = lambda df: scratch.write(df.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", common.alias("c")).select("a", "b", ratio), "similar")
-    near = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), F.xxhash64(F.least("a", "b"), F.greatest("a", "b")), "b"))
-    best = lambda df: df.union(df.select("b", "a", "similarity")).withColumn("r", near).where(F.col("r") <= NEIGHBOURS)
-    found = compare(pairs)
-    # What is found so far bounds the rest: all pairs that may be more similar than a document's last.
-    last = best(found).where(F.col("r") == NEIGHBOURS).select(F.col("a").alias("rid"), F.col("similarity").alias("least"))
+    order = [F.desc("similarity"), F.xxhash64(F.least("a", "b"), F.greatest("a", "b")), "b"]
+    best = lambda df: df.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("r") <= NEIGHBOURS)
+    mutual = lambda df: df.union(df.select("b", "a", "similarity"))
+    found = pairs.where("not both").select("a", "b", "na", "nb", "c").unionByName(looked_up(pairs.where("both").drop("na", "nb")))
+    found = scratch.write(best(mutual(found.select("a", "b", ratio))), "nearest")
+    # What is found so far bounds the rest: all pairs that may be more similar than a document's last. They meet in large classes alone.
+    last = found.where(F.col("r") == NEIGHBOURS).select(F.col("a").alias("rid"), F.col("similarity").alias("least"))
     rest = F.sum("w").over(Window.partitionBy("rid").orderBy(F.desc("df"), F.desc("k")))
-    open_ = classes.withColumn("rest", rest).where(F.col("df") > LINKS + 1).join(last, "rid", "left")
+    open_ = classes.where("large").withColumn("rest", rest).where(F.col("df") > LINKS + 1).join(last, "rid", "left")
     open_ = open_.select("k", "rid", "n", "rest", F.coalesce("least", F.lit(0.0)).alias("least")).repartition("k")
-    more = scratch.write(open_.mapInArrow(probes, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    closer = compare(more)
-    out = scratch.write(best(found.union(closer)).select("a", "b", "similarity"), "neighbours")
-    for done in (keys, pairs, found, more, closer):
+    more = scratch.write(open_.mapInArrow(probes, "a long, b long").distinct().join(pairs.where("both").select("a", "b"), ["a", "b"], "left_anti"), "more")
+    closer = looked_up(more.withColumn("c", F.lit(0).cast("long"))).select("a", "b", ratio)
+    out = scratch.write(best(found.select("a", "b", "similarity").union(mutual(closer))).select("a", "b", "similarity"), "neighbours")
+    for done in (pairs, found, more):
         scratch.drop(done)
     return out
 
