@@ -118,9 +118,11 @@ def key_terms(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> Da
         if words > frequent:
             break
         least = r["bin"]
-    top = counts.where(F.col("bin") >= least).select("word", "df").toPandas().sort_values("word")
+    top = counts.where(F.col("bin") >= least).select("word", "df").toArrow()  # columns, not a Row object a word
     scratch.drop(counts)
-    known = spark.sparkContext.broadcast((top["word"].to_numpy(), top["df"].to_numpy()))
+    word, df = top["word"].to_numpy(), top["df"].to_numpy()
+    o = np.argsort(word)
+    known = spark.sparkContext.broadcast((word[o], df[o]))
     found = lists.select("t", "words").mapInArrow(lambda b: candidates(b, *known.value), "t long, word long, df long")
     found = scratch.write(found, "candidates")
     rare = found.where("df = 0").select("t", "word").withColumn("df", F.count("*").over(Window.partitionBy("word"))).where("df > 1")
