@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
 
+#: A written table doesn't need the shuffles it came from; without this they stay until the driver's garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: dict[str, str] = {}
 _roots: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
@@ -62,7 +65,12 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
