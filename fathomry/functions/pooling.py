@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,8 @@ def pool(tokens: DataFrame, strategy: str, keys: list[str]) -> DataFrame:
     if strategy == "first_token":
         return tokens.groupBy(*keys).agg(F.min_by("vec", "pos").alias("vec"))
     if strategy == "mean":
-        long = tokens.select(*keys, F.posexplode("vec").alias("neuron", "v"))
-        means = long.groupBy(*keys, "neuron").agg(F.avg("v").alias("v"))
-        return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("neuron", "v"))), lambda x: x["v"]).alias("vec"))
+        vec = array_to_vector(F.col("vec").cast("array<double>"))
+        return tokens.where("vec is not null").groupBy(*keys).agg(vector_to_array(Summarizer.mean(vec)).alias("vec"))
     if strategy in ("all", "max", "min"):
         return tokens.select(*keys, "pos", "vec")
     raise ValueError(f"unknown pooling {strategy!r}")

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from typing import Callable
 
 import numpy as np
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,21 +57,20 @@ class BaselineProbe:
             p = with_hash(prompts)
             f = ppl.features(self.source.losses(p), p.select("prompt_hash").distinct(), "prompt_hash")
             return p.join(f, "prompt_hash").select("prompt_id", F.array("mean_ppl", "min_ppl", "max_ppl").alias("features"))
-        counts = X.term_counts(prompts, *self.ngram_range, key="prompt_id")
+        words = prompts.select("prompt_id", F.coalesce(X.ngrams(X.tokens(F.col("text")), *self.ngram_range), F.array().cast("array<string>")).alias("terms"))
         if fitting:
-            counts = counts.persist()
             n = prompts.count()
-            rows = X.vocabulary(counts, self.max_features).collect()  # max_features rows at most
-            terms = sorted((r["term"], r["ctf"], r["df"]) for r in rows)
-            spark = prompts.sparkSession
-            self.terms_ = [t for t, _, _ in terms]
-            self.vocab_ = spark.createDataFrame([(t, i, float(np.log((1 + n) / (1 + df)) + 1)) for i, (t, _, df) in enumerate(terms)], "term string, idx int, idf double")
-        weight = F.col("tf").cast("double") * (F.col("idf") if self.method == "tfidf" else F.lit(1.0))
-        cells = counts.join(F.broadcast(self.vocab_), "term").select("prompt_id", "idx", weight.alias("w")).groupBy("prompt_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-        scale = F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0) if self.method == "tfidf" else F.lit(1.0)
-        joined = prompts.select("prompt_id").join(cells, "prompt_id", "left")
-        dense = F.transform(F.sequence(F.lit(0), F.lit(max(len(self.terms_) - 1, 0))), lambda i: F.coalesce(F.try_element_at("m", i) / scale, F.lit(0.0)))
-        return joined.select("prompt_id", dense.alias("features"))
+            rows = X.vocabulary(X.term_counts(prompts, *self.ngram_range, key="prompt_id"), self.max_features).collect()  # max_features rows at most
+            terms = sorted((r["term"], r["df"]) for r in rows)
+            if not terms:
+                raise ValueError("the prompts have no terms")
+            self.vocab_ = self.terms_ = [t for t, _ in terms]
+            self.idf_ = [float(np.log((1 + n) / (1 + df)) + 1) for _, df in terms]
+        out = CountVectorizerModel.from_vocabulary(self.terms_, inputCol="terms", outputCol="counts").transform(words)
+        if self.method == "bow":
+            return out.select("prompt_id", F.col("counts").alias("features"))
+        out = ElementwiseProduct(scalingVec=Vectors.dense(self.idf_), inputCol="counts", outputCol="weights").transform(out)
+        return Normalizer(p=2.0, inputCol="weights", outputCol="features").transform(out).select("prompt_id", "features")
 
     def fit(self, prompts: DataFrame) -> BaselineProbe:
         rows = self._features(prompts, True).join(prompts.select("prompt_id", "label"), "prompt_id").persist()
@@ -125,9 +126,9 @@ class ActivationBaseline:
             if fitting:
                 u = np.random.RandomState(self.seed).randn(len(rows.first()["features"]))
                 self.direction_ = u / np.linalg.norm(u)
-            from .linear import dot
+            from .linear import constant, dot
 
-            return rows.select("prompt_id", F.array(dot(F.col("features"), F.array(*[F.lit(float(x)) for x in self.direction_]))).alias("features"))
+            return rows.select("prompt_id", F.array(dot(F.col("features"), constant(self.direction_))).alias("features"))
         if self.method == "pca":
             if fitting:
                 self.pca_ = E.PCA(self.n_components).fit(rows)

@@ -9,12 +9,14 @@ import warnings
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .linear import dot, sigmoid
+from .linear import constant, dot, sigmoid, vector_dot
 
 
 class NotFitted(RuntimeError):
@@ -25,10 +27,27 @@ def classes_of(rows: DataFrame) -> list[int]:
     return [r[0] for r in rows.select("label").distinct().orderBy("label").collect()]
 
 
+def is_vector(rows: DataFrame) -> bool:
+    return isinstance(rows.schema["features"].dataType, VectorUDT)
+
+
+def dense(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("features", vector_to_array("features")) if is_vector(rows) else rows
+
+
+def _add(frame):
+    import pandas as pd
+
+    total = np.sum([np.frombuffer(m) for m in frame["m"]], axis=0)
+    return pd.DataFrame({"i": frame["i"].iloc[:1], "part": [0], "m": [total.tobytes()]})
+
+
 def moments(rows: DataFrame, target: Column) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, sum of (1, x, t), and the matrix of their products: partial sums in Arrow batches, one small matrix a partition."""
+    """n, sum of (1, x, t), and the matrix of their products: partial sums in Arrow batches, added in blocks of about a MB in two rounds."""
 
     def run(frames):
+        import pandas as pd
+
         total = None
         for f in frames:
             if not len(f):
@@ -37,14 +56,17 @@ def moments(rows: DataFrame, target: Column) -> tuple[int, np.ndarray, np.ndarra
             z = np.concatenate([np.ones((len(x), 1)), x, f["t"].to_numpy()[:, None]], axis=1)
             total = z.T @ z if total is None else total + z.T @ z
         if total is not None:
-            import pandas as pd
-
-            yield pd.DataFrame({"m": [total.ravel()]})
-
-    parts = rows.select("features", target.cast("double").alias("t")).mapInPandas(run, "m array<double>")
-    long = parts.select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    d = int(round(len(long) ** 0.5))
-    m = np.array([r["v"] for r in long]).reshape(d, d)
+            step = max(1, (1 << 17) // len(total))
+            for i in range(0, len(total), step):
+                yield pd.DataFrame({"i": [i], "m": [total[i : i + step].tobytes()]})
+
+    schema = "i int, part int, m binary"
+    parts = dense(rows).select("features", target.cast("double").alias("t")).mapInPandas(run, "i int, m binary")
+    some = parts.withColumn("part", F.spark_partition_id() % 64).groupBy("i", "part").applyInPandas(_add, schema)
+    blocks = some.groupBy("i").applyInPandas(_add, schema).select("i", "m").collect()  # d x d numbers
+    flat = np.concatenate([np.frombuffer(r["m"]) for r in sorted(blocks, key=lambda r: r["i"])])
+    d = int(round(len(flat) ** 0.5))
+    m = flat.reshape(d, d)
     return int(m[0, 0]), m[0], m
 
 
@@ -53,6 +75,7 @@ class Linear:
 
     proba: Callable[[list[Column]], list[Column]] | None = None
     has_proba = True
+    vector_ = False  # whether the rows at hand have MLlib vectors instead of arrays
 
     def __init__(self, **params):
         self.params = {k: v for k, v in params.items() if v is not None}
@@ -76,7 +99,11 @@ class Linear:
         self._check()
         out = []
         for w, b in zip(np.atleast_2d(self.coef_), np.atleast_1d(self.intercept_)):
-            out.append(dot(features, F.array(*[F.lit(float(x)) for x in w])) + F.lit(float(b)))
+            width = F.unwrap_udt(features)["size"] if self.vector_ else F.size(features)
+            width = F.coalesce(width, F.size(F.unwrap_udt(features)["values"])) if self.vector_ else width
+            score = (vector_dot if self.vector_ else dot)(features, constant(w)) + F.lit(float(b))
+            wrong = F.raise_error(F.lit(f"the model has {len(w)} features, the rows have another number")).cast("double")
+            out.append(F.when(width == len(w), score).otherwise(wrong))
         return out
 
     def probabilities(self, features: Column) -> Column:
@@ -95,11 +122,13 @@ class Linear:
         return F.element_at(F.array(*[F.lit(c) for c in self.classes_]), F.array_position(scores, F.array_max(scores)).cast("int"))
 
     def predict(self, rows: DataFrame) -> DataFrame:
+        self.vector_ = is_vector(rows)
         return rows.withColumn("pred", self.label(F.col("features")))
 
     def predict_proba(self, rows: DataFrame) -> DataFrame:
         if not self.has_proba:
             raise AttributeError(f"{type(self).__name__} has no probabilities")
+        self.vector_ = is_vector(rows)
         return rows.withColumn("proba", self.probabilities(F.col("features")))
 
     def score(self, rows: DataFrame) -> float:
@@ -108,7 +137,8 @@ class Linear:
 
 def _indexed(rows: DataFrame, classes: list[int]) -> DataFrame:
     at = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
-    return rows.select(array_to_vector("features").alias("features"), at.cast("double").alias("label")).persist()
+    features = F.col("features") if is_vector(rows) else array_to_vector("features")
+    return rows.select(features.alias("features"), at.cast("double").alias("label")).persist()
 
 
 class LogisticRegression(Linear):
@@ -122,7 +152,7 @@ class LogisticRegression(Linear):
             raise ValueError("at least two classes are needed")
         data = _indexed(rows, self.classes_)
         reg = self.params.get("reg", 1.0 / (data.count() * self.params.get("C", 1.0)))
-        m = Spark(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=self.params.get("max_iter", 1000), tol=1e-10).fit(data)
+        m = Spark(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=self.params.get("max_iter", 1000), tol=self.params.get("tol", 1e-6 if is_vector(rows) else 1e-10)).fit(data)
         data.unpersist()
         self.coef_, self.intercept_ = m.coefficientMatrix.toArray(), np.asarray(m.interceptVector.toArray())
         return self
@@ -168,6 +198,15 @@ class Ridge(Linear):
         self.classes_ = classes_of(rows)
         alpha, coef, intercept = self.params.get("alpha", 1.0), [], []
         for c in self.classes_[1:] if len(self.classes_) == 2 else self.classes_:
+            if is_vector(rows):  # many sparse features: no matrix of their products
+                from pyspark.ml.regression import LinearRegression
+
+                data = rows.select("features", F.when(F.col("label") == c, 1.0).otherwise(-1.0).alias("label")).persist()
+                fit = LinearRegression(regParam=alpha / data.count(), elasticNetParam=0.0, standardization=False, solver="auto", maxIter=1000, tol=1e-8).fit(data)
+                data.unpersist()
+                coef.append(fit.coefficients.toArray())
+                intercept.append(fit.intercept)
+                continue
             n, s, m = moments(rows, F.when(F.col("label") == c, 1.0).otherwise(-1.0))
             mx, mt = s[1:-1] / n, s[-1] / n
             gram = m[1:-1, 1:-1] - n * np.outer(mx, mx)
@@ -191,6 +230,7 @@ class SVM(Linear):
         m = LinearSVC(regParam=1.0 / data.count(), standardization=False, maxIter=self.params.get("max_iter", 1000), tol=1e-9).fit(data)
         data.unpersist()
         self.coef_, self.intercept_ = m.coefficients.toArray()[None], np.array([m.intercept])
+        self.vector_ = is_vector(rows)
         one = rows.select("label", F.array(super().decision(F.col("features"))[0]).alias("features"))
         platt = LogisticRegression(C=1e6).fit(one)
         self.platt_ = float(platt.coef_[0, 0]), float(platt.intercept_[0])
@@ -205,11 +245,12 @@ class MassMean(Linear):
     """Unit difference of the class means, threshold halfway between them. Labels are 0 and 1; others are left out."""
 
     def fit(self, rows: DataFrame) -> MassMean:
-        long = rows.where("label in (0, 1)").select("label", F.posexplode("features").alias("i", "v"))
-        m = long.groupBy("i").agg(F.avg(F.when(F.col("label") == 1, F.col("v"))).alias("m1"), F.avg(F.when(F.col("label") == 0, F.col("v"))).alias("m0")).orderBy("i").collect()
-        if not m or m[0]["m1"] is None or m[0]["m0"] is None:
+        vec = F.col("features") if is_vector(rows) else array_to_vector("features")
+        means = rows.where("label in (0, 1)").groupBy("label").agg(Summarizer.mean(vec).alias("m")).collect()  # two rows
+        by = {r["label"]: r["m"].toArray() for r in means}
+        if len(by) < 2:
             raise ValueError("both classes, 0 and 1, are needed")
-        m1, m0 = np.array([r["m1"] for r in m]), np.array([r["m0"] for r in m])
+        m1, m0 = by[1], by[0]
         theta = m1 - m0
         norm = np.linalg.norm(theta)
         theta = theta / norm if norm else theta
@@ -252,6 +293,7 @@ class GroupLasso(Linear):
         self.classes_ = classes_of(rows)
         if len(self.classes_) != 2:
             raise ValueError("two classes are needed")
+        rows = dense(rows)
         bad = rows.where(F.size("features") != h * layers).limit(1).count()
         if bad:
             raise ValueError(f"expected {h} x {layers} = {h * layers} features")
@@ -354,7 +396,7 @@ class UserEstimator(Linear):
         n = rows.count()
         if n > self.MAX_ROWS:
             raise ValueError(f"{n} rows are too many for an estimator on the driver")
-        pdf = rows.select("features", "label").toPandas()
+        pdf = dense(rows).select("features", "label").toPandas()
         self.model_ = copy.deepcopy(self.template)
         self.model_.fit(np.stack(pdf["features"].to_numpy()), pdf["label"].to_numpy())
         self.coef_ = getattr(self.model_, "coef_", np.zeros((1, 0)))
@@ -369,7 +411,7 @@ class UserEstimator(Linear):
         def run(features):
             return _series(int(y) for y in model.predict(np.stack(features.to_numpy())))
 
-        return rows.withColumn("pred", run("features"))
+        return dense(rows).withColumn("pred", run("features"))
 
     def predict_proba(self, rows: DataFrame) -> DataFrame:
         if not self.has_proba:
@@ -381,7 +423,7 @@ class UserEstimator(Linear):
         def run(features):
             return _series([list(map(float, p)) for p in model.predict_proba(np.stack(features.to_numpy()))])
 
-        return rows.withColumn("proba", run("features"))
+        return dense(rows).withColumn("proba", run("features"))
 
 
 def _series(values):
@@ -423,5 +465,5 @@ class PCA:
 
     def transform(self, rows: DataFrame) -> DataFrame:
         x = F.col("features")
-        parts = [dot(x, F.array(*[F.lit(float(v)) for v in c])) - float(c @ self.mean_) for c in self.components_]
+        parts = [dot(x, constant(c)) - float(c @ self.mean_) for c in self.components_]
         return rows.withColumn("features", F.array(*parts))

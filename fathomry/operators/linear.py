@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,18 @@ def dot(x: Column, w: Column) -> Column:
     return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
+def constant(values) -> Column:
+    """An array of numbers as one foldable expression: a literal for each number is slow to build at thousands of them."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def vector_dot(x: Column, w: Column) -> Column:
+    """The product of an MLlib vector, sparse or dense, with an array."""
+    v = F.unwrap_udt(x)
+    cells = F.zip_with(v["indices"], v["values"], lambda i, a: a * F.get(w, i))
+    return F.when(v["type"] == 0, F.aggregate(cells, F.lit(0.0), lambda s, a: s + a)).otherwise(dot(v["values"], w))
+
+
 def sigmoid(score: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-score))
 
@@ -36,8 +50,11 @@ def scores(rows: DataFrame, coef: DataFrame, intercept: DataFrame, keys: list[st
 
 def mass_mean(rows: DataFrame, label: str = "y") -> tuple[DataFrame, DataFrame]:
     """coef (layer, w) and intercept (one row) of the difference of class means; labels are 0 and 1."""
-    long = rows.select("layer", F.posexplode("vec").alias("neuron", "v"), label)
-    means = long.groupBy("layer", "neuron").agg(F.avg(F.when(F.col(label) == 1, F.col("v"))).alias("m1"), F.avg(F.when(F.col(label) == 0, F.col("v"))).alias("m0"))
+    vec = array_to_vector(F.col("vec").cast("array<double>"))
+    sums = rows.where(F.col(label).isin(0, 1) & F.col("vec").isNotNull()).groupBy("layer", label).agg(vector_to_array(Summarizer.mean(vec)).alias("m"))
+    both = sums.groupBy("layer").agg(*[F.max(F.when(F.col(label) == c, F.col("m"))).alias(f"m{c}") for c in (1, 0)])
+    pairs = F.arrays_zip(F.coalesce("m1", F.transform("m0", lambda x: F.lit(None).cast("double"))).alias("m1"), F.coalesce("m0", F.transform("m1", lambda x: F.lit(None).cast("double"))).alias("m0"))
+    means = both.select("layer", F.posexplode(pairs).alias("neuron", "m")).select("layer", "neuron", "m.*")
     norm = F.sqrt(F.sum((F.col("m1") - F.col("m0")) ** 2).over(Window.partitionBy()))  # one row a neuron: the model's size, not the data's
     theta = F.when(norm == 0, F.lit(0.0)).otherwise((F.col("m1") - F.col("m0")) / norm)
     w = means.withColumn("w", theta)

@@ -11,7 +11,7 @@ from ..operators import perplexity as ppl
 from ..sources import cache
 from .tables import table
 
-TOP = 2000
+TOP = 10_000
 
 
 def _docs(spark, sf):
