@@ -28,7 +28,9 @@ no rows. Other columns aren't read, whatever their names.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -218,17 +220,18 @@ def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PATH = ("label", "round", "size", "head", "tail")
 
 
-def chains(edges: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Takes edges in their order (d, s, h, u, v) if they join ends of two paths: path, label, round, offset, flip of each path that was joined."""
-    o = np.lexsort((edges["v"], edges["u"], edges["h"], edges["s"], edges["d"]))
-    field = lambda side, name: edges[f"{side}_{name}"]
-    label, first, which = np.unique(np.concatenate([field("a", "label"), field("b", "label")]), return_index=True, return_inverse=True)
-    info = {f: np.concatenate([field("a", f), field("b", f)])[first] for f in _PATH}
-    unit_a, unit_b = which[: len(o)], which[len(o) :]
-    single = (info["head"] == info["tail"]).tolist()
-    # The sides of a path: 0 the head, 1 the tail; the one document of a single has both.
-    side_a, side_b = (edges["u"] == info["tail"][unit_a]).astype(int), (edges["v"] == info["tail"][unit_b]).astype(int)
-    root, links = list(range(len(label))), [[-1, -1] for _ in label]
+def chains(a: np.ndarray, b: np.ndarray, tails: np.ndarray, info: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Takes edges in their order if they join ends of two paths: path, label, round, offset, flip of each path that was joined.
+
+    a, b: the labels of each edge's paths; tails: whether it meets a's tail (1) and b's (2); info: a row of _PATH for each label, in order.
+    Flat arrays of numbers, so that an edge takes some 20 bytes and a path some 150.
+    """
+    label = info[:, 0]
+    unit_a, unit_b = (np.searchsorted(label, x).astype(np.int32) for x in (a, b))
+    flat = lambda x: array("q", np.ascontiguousarray(x, np.int64).tobytes())
+    # The sides of a path: 0 the head, 1 the tail; the one document of a single has both. links has both sides of each path.
+    single = (info[:, 3] == info[:, 4]).tobytes()
+    root, links = flat(np.arange(len(label))), array("q", [-1]) * (2 * len(label))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -236,43 +239,58 @@ def chains(edges: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
             x = root[x]
         return x
 
-    for a, b, i, j in zip(unit_a[o].tolist(), unit_b[o].tolist(), side_a[o].tolist(), side_b[o].tolist()):
-        if single[a]:
-            i = 1 if links[a][0] >= 0 else 0
-        if single[b]:
-            j = 1 if links[b][0] >= 0 else 0
-        if links[a][i] >= 0 or links[b][j] >= 0:
-            continue
-        x, y = find(a), find(b)
-        if x != y:
-            root[x] = y
-            links[a][i], links[b][j] = 2 * b + j, 2 * a + i
-    rows: list[tuple] = []
+    for at in range(0, len(tails), 1 << 12):
+        piece = slice(at, at + (1 << 12))
+        for a, b, tail in zip(unit_a[piece].tolist(), unit_b[piece].tolist(), tails[piece].tolist()):
+            i, j = tail & 1, tail >> 1
+            if single[a]:
+                i = 1 if links[2 * a] >= 0 else 0
+            if single[b]:
+                j = 1 if links[2 * b] >= 0 else 0
+            if links[2 * a + i] >= 0 or links[2 * b + j] >= 0:
+                continue
+            x, y = find(a), find(b)
+            if x != y:
+                root[x] = y
+                links[2 * a + i], links[2 * b + j] = 2 * b + j, 2 * a + i
+    size, name = flat(info[:, 2]), flat(label)
+    unit, offset, path, flip = array("q"), array("q"), array("q"), bytearray()
     done = bytearray(len(label))
     for start in range(len(label)):
-        if done[start] or (links[start][0] >= 0 and links[start][1] >= 0) or links[start] == [-1, -1]:
+        head, tail = links[2 * start], links[2 * start + 1]
+        if done[start] or (head >= 0) == (tail >= 0):
             continue
-        at, enter, offset, begin = start, 0 if links[start][0] < 0 else 1, 0, len(rows)
+        at, enter, so_far, begin, low = start, 0 if head < 0 else 1, 0, len(unit), name[start]
         while True:
             done[at] = 1
-            rows.append((at, offset, enter == 1))
-            offset += int(info["size"][at])
-            to = links[at][1 - enter]
+            unit.append(at), offset.append(so_far), flip.append(enter)
+            so_far, low = so_far + size[at], min(low, name[at])
+            to = links[2 * at + 1 - enter]
             if to < 0:
                 break
             at, enter = to >> 1, to & 1
-        low = int(label[[r[0] for r in rows[begin:]]].min())
-        rows[begin:] = [(*r, low) for r in rows[begin:]]
-    unit, offset, flip, path = (np.array(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 4
-    return path.astype(np.int64), label[unit.astype(np.int64)], info["round"][unit.astype(np.int64)], offset.astype(np.int64), flip.astype(bool)
+        path.extend(repeat(low, len(unit) - begin))
+    unit, offset, path = (np.frombuffer(x, np.int64) for x in (unit, offset, path))
+    return path, label[unit], info[unit, 1].astype(np.int32), offset, np.frombuffer(flip, bool)
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = list(batches)
-    if sum(p.num_rows for p in parts):
-        t = pa.Table.from_batches(parts)
-        out = chains({c: t.column(c).to_numpy() for c in t.column_names})
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["path", "label", "round", "offset", "flip"])
+    """chains() of edges that come in their order; of each only its paths' labels and ends are kept, of each path one row."""
+    edges: list[tuple[np.ndarray, ...]] = []
+    seen, known = [np.zeros((0, len(_PATH)), np.int64)], 0
+    whole = lambda parts: (t := np.concatenate(parts))[np.unique(t[:, 0], return_index=True)[1]]
+    for batch in batches:
+        of = lambda c: batch.column(c).to_numpy().astype(np.int64)  # noqa: E731, B023
+        u, v, a, b = of("u"), of("v"), *(np.stack([of(f"{side}_{f}") for f in _PATH], 1) for side in "ab")
+        edges.append((a[:, 0].copy(), b[:, 0].copy(), (u == a[:, 4]).astype(np.uint8) | (v == b[:, 4]).astype(np.uint8) << 1))
+        seen.append(whole([a, b]))
+        if sum(map(len, seen)) > 2 * known + (1 << 16):
+            seen = [whole(seen)]
+            known = len(seen[0])
+    if edges:
+        out = [pa.array(c) for c in chains(*(np.concatenate(c) for c in zip(*edges)), whole(seen))]
+        for part in pa.Table.from_arrays(out, ["path", "label", "round", "offset", "flip"]).to_batches(1 << 16):
+            yield part
 
 
 def cover(edges: DataFrame, scratch: Scratch, finish: int = FINISH) -> DataFrame:
@@ -301,7 +319,8 @@ def cover(edges: DataFrame, scratch: Scratch, finish: int = FINISH) -> DataFrame
         scratch.drop(cur)
         cur = rest
     flat = cur.select("d", "s", "h", "u", "v", *[F.col(f"{side.upper()}.{f}").alias(f"{side}_{f}") for side in "ab" for f in _PATH])
-    found = [scratch.write(flat.coalesce(1).mapInArrow(_chains, "path long, label long, round int, offset long, flip boolean"), "chains")]
+    flat = flat.coalesce(1).sortWithinPartitions("d", "s", "h", "u", "v").drop("d", "s", "h")
+    found = [scratch.write(flat.mapInArrow(_chains, "path long, label long, round int, offset long, flip boolean"), "chains")]
     for n in range(len(taken), 0, -1):  # from the last joins back to documents
         above = found[0]
         for f in found[1:]:
