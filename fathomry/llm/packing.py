@@ -47,71 +47,63 @@ FINISH = 2_000_000
 WINDOW, PACK = 2048, 1 << 21
 
 
-def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """me, tokens, words: the hashes of the distinct words, sorted."""
-    for batch in slices(batches):
-        tokens = Words(batch.column("text"), VISIBLE, lower=False).count
-        w = Words(batch.column("text"))
-        h, row = w.hashes(), w.row
-        o = np.lexsort((h, row))
-        h, row = h[o], row[o]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
-        lists = list_array(h[new].view(np.int64), np.bincount(row[new], minlength=batch.num_rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("me"), pa.array(tokens), lists], ["me", "tokens", "words"])
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Slices of about `limit` words."""
-    for batch in batches:
-        n = np.asarray(batch.column("words").value_lengths().fill_null(0), dtype=np.int64)
-        cuts = np.flatnonzero(np.diff((np.cumsum(n) - n // 2) // limit)) + 1
-        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
-            yield batch.slice(lo, hi - lo)
+def distinct_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the distinct words of each text, sorted, the text of each, and the number of tokens of each text."""
+    tokens = Words(text, VISIBLE, lower=False).count
+    w = Words(text)
+    h, row = w.hashes(), w.row
+    o = np.lexsort((h, row))
+    h, row = h[o], row[o]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
+    return h[new].view(np.int64), row[new], tokens
 
 
 def word_counts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """word, n: partial sums over about `limit` words at once."""
-    words, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words, counts, more = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def summed():
+        both, which = np.unique(np.concatenate([words, *more]), return_inverse=True)
+        n = np.bincount(which, weights=np.concatenate([counts, np.ones(len(which) - len(words), np.int64)]), minlength=len(both)).astype(np.int64)
+        more.clear()
+        return both, n
 
     def out():
         return pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], ["word", "n"])
 
-    for batch in _pieces(batches):
-        more = np.asarray(batch.column("words").flatten(), dtype=np.int64)
-        both, which = np.unique(np.concatenate([words, more]), return_inverse=True)
-        counts = np.bincount(which, weights=np.concatenate([counts, np.ones(len(more), np.int64)]), minlength=len(both)).astype(np.int64)
-        words = both
-        if len(words) > limit:
-            yield out()
-            words, counts = words[:0], counts[:0]
+    for batch in slices(batches):
+        more.append(distinct_words(batch.column("text"))[0])
+        if sum(map(len, more)) > limit // 2:
+            words, counts = summed()
+            if len(words) > limit:
+                yield out()
+                words, counts = words[:0], counts[:0]
+    words, counts = summed()
     yield out()
 
 
 def candidates(batches: Iterator[pa.RecordBatch], known: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """t, word, df: of each document all words that aren't known (df 0), and of the known ones the TERMS rarest that others have, too."""
-    for batch in _pieces(batches):
-        lists = batch.column("words")
-        n = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-        word, row = np.asarray(lists.flatten(), dtype=np.int64), np.repeat(np.arange(len(n)), n)
+    """me, tokens, word, df, rare: of each document all words that aren't known (rare), and of the known ones the TERMS rarest that others have, too."""
+    for batch in slices(batches):
+        word, row, tokens = distinct_words(batch.column("text"))
+        n = len(tokens)
         at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
         found = known[at] == word if len(known) else np.zeros(len(word), bool)
         f = np.where(found, df[at], 0) if len(known) else np.zeros(len(word), np.int64)
         some = np.flatnonzero(found & (f > 1))
         some = some[np.lexsort((word[some], f[some], row[some]))]
-        first = np.searchsorted(row[some], np.arange(len(n)))
+        first = np.searchsorted(row[some], np.arange(n))
         some = some[np.arange(len(some)) - first[row[some]] < TERMS]
-        take = np.concatenate([np.flatnonzero(~found), some])
-        yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(row[take])), pa.array(word[take]), pa.array(f[take])], ["t", "word", "df"])
+        lists = [list_array(x[at], np.bincount(row[at], minlength=n), pa.int64()) for x, at in ((word, some), (f, some), (word, np.flatnonzero(~found)))]
+        yield pa.RecordBatch.from_arrays([batch.column("me"), pa.array(tokens), *lists], ["me", "tokens", "word", "df", "rare"])
 
 
 def key_terms(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> DataFrame:
     """rid, doc_id, tokens, ord (the least hash of a term), n, terms of all documents with tokens."""
     spark = docs.sparkSession
     scan = spark.read.parquet(source_folder(docs, scratch))
-    texts = spread(scan.select("text", identity(scan).alias("me")))
-    lists = texts.mapInArrow(word_lists, f"me {IDENTITY}, tokens long, words array<long>").where("tokens > 0")
-    lists = scratch.write(lists.withColumn("t", F.monotonically_increasing_id()), "words")
-    counts = lists.select("words").mapInArrow(word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("df"))
+    # The texts are read twice: a table of the hashes of all their words would be larger than the texts in Parquet.
+    counts = spread(scan.select("text")).mapInArrow(word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("df"))
     counts = scratch.write(counts.where("df > 1").withColumn("bin", F.floor(16 * F.log2("df")).cast("int")), "counts")
     # As many bins of the most frequent words as have no more than `frequent` together: 16 bytes a word for the driver and the tasks.
     least, words = 1 << 30, 0
@@ -125,14 +117,15 @@ def key_terms(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> Da
     word, df = top["word"].to_numpy(), top["df"].to_numpy()
     o = np.argsort(word)
     known = spark.sparkContext.broadcast((word[o], df[o]))
-    found = lists.select("t", "words").mapInArrow(lambda b: candidates(b, *known.value), "t long, word long, df long")
-    found = scratch.write(found, "candidates")
-    rare = found.where("df = 0").select("t", "word").withColumn("df", F.count("*").over(Window.partitionBy("word"))).where("df > 1")
-    chosen = found.where("df > 0").unionByName(rare).groupBy("t").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "word"))), 1, TERMS).alias("k")).select("t", F.col("k.word").alias("terms"))
-    rows = lists.select("t", "me", "tokens").join(chosen, "t", "left")
-    rows = rows.select("me", "tokens", F.coalesce("terms", F.array().cast("array<long>")).alias("terms"))
-    rows = numbered(rows, "me", "rid", scratch)
-    scratch.drop(lists), scratch.drop(found)
+    texts = spread(scan.select("text", identity(scan).alias("me")))
+    found = texts.mapInArrow(lambda b: candidates(b, *known.value), f"me {IDENTITY}, tokens long, word array<long>, df array<long>, rare array<long>").where("tokens > 0")
+    found = scratch.write(found.withColumn("t", F.monotonically_increasing_id()), "candidates")
+    rare = found.select("t", F.explode("rare").alias("word")).withColumn("df", F.count("*").over(Window.partitionBy("word"))).where("df > 1")
+    rare = rare.groupBy("t").agg(F.collect_list(F.struct("df", "word")).alias("more"))
+    rows = found.select("t", "me", "tokens", F.arrays_zip("df", "word").alias("k")).join(rare, "t", "left")
+    rarest = F.slice(F.array_sort(F.when(F.col("more").isNull(), F.col("k")).otherwise(F.concat("k", "more"))), 1, TERMS).alias("k")
+    rows = numbered(rows.select("me", "tokens", rarest).select("me", "tokens", F.col("k.word").alias("terms")), "me", "rid", scratch)
+    scratch.drop(found)
     order = F.coalesce(F.shiftrightunsigned(F.array_min(F.transform("terms", lambda x: F.xxhash64(x))), 40), F.lit(0))
     return scratch.write(rows.select("rid", F.col("me.doc_id").alias("doc_id"), "tokens", order.alias("ord"), F.size("terms").cast("long").alias("n"), "terms"), "terms")
 

@@ -533,6 +533,32 @@ def test_key_terms_against_brute_force(spark, sf, frequent):
     assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["rid"])] == sorted(r["doc_id"] for r in rows)
 
 
+class Counted(Scratch):
+    """Bytes of the tables that are there, and the most at a time."""
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.held, self.most = {}, 0
+
+    def write(self, df, name="t"):
+        out = super().write(df, name)
+        at = out._scratch_path
+        self.held[at] = sum(p.stat().st_size for p in Path(at.removeprefix("file://")).rglob("*.parquet"))
+        self.most = max(self.most, sum(self.held.values()))
+        return out
+
+    def drop(self, df):
+        super().drop(df)
+        self.held.pop(df._scratch_path)
+
+
+def test_key_terms_write_less_than_the_texts(spark, sf):
+    """No table of all words of all documents is written."""
+    scratch = Counted(spark)
+    assert packing.key_terms(spark.read.parquet(f"{sf}/documents.parquet"), scratch).count() > 100
+    assert 0 < scratch.most < 0.7 * Path(f"{sf}/documents.parquet").stat().st_size
+
+
 @pytest.mark.parametrize("kind", ["made", "tables"])
 def test_neighbours_against_brute_force(spark, sf, kind):
     """The similarities of each document's nearest are those of comparing it with all."""
