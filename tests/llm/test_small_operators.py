@@ -1,11 +1,13 @@
 """Operators against brute force, and their results for nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import collections
+import copy
 import itertools
 import random
 import re
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -288,6 +290,53 @@ def test_pieces_of_any_length():
     assert {back[a + 1 : b].tobytes() for a, b in zip(off[:-1], off[1:])} == {b"a" * 200} and {256, 257} <= set(ids.tolist())
 
 
+def words_of(rng, size):
+    """About `size` bytes of made words, few of them twice."""
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(5, 12))) for _ in range(size // 9))
+
+
+@pytest.mark.parametrize("kind", ["many texts", "one text", "no spaces", "no cuts"])
+def test_sampling_memory_has_a_bound(lattice, kind):
+    """Edges of a few megabytes of text that is all different are never held at once."""
+    rng = random.Random(4)
+    texts = {
+        "many texts": lambda: [words_of(rng, 2000) for _ in range(2000)],
+        "one text": lambda: [words_of(rng, 8_000_000)],
+        "no spaces": lambda: ["".join(rng.choices("abcXYZ019+/漢字", k=3_000_000))],
+        "no cuts": lambda: ["".join(rng.choices("ACGT", k=50_000)) for _ in range(60)],
+    }[kind]()
+    size = sum(len(x.encode()) for x in texts)
+    arr = pa.array(texts)
+    tracemalloc.start()
+    ids, n = lattice.sample(arr, np.arange(len(texts)))
+    back, off = lattice.decode(ids, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [back[a + 1 : b].tobytes().decode() for a, b in zip(off[:-1], off[1:])] == texts
+    assert peak < 120e6 + 20 * size, peak / 1e6
+
+
+def test_a_text_alone_and_among_others(lattice):
+    """Equal probabilities keep their order, and borders their value, whatever is sampled with a text."""
+    rng = random.Random(5)
+    texts = [words_of(rng, 4_000_000)] + ["".join(rng.choice("efgh") for _ in range(12)) for _ in range(20_000)]
+    texts += ["fff", "=====", "aaaa"] * 2000
+    ids, n = lattice.sample(pa.array(texts), np.arange(len(texts)))
+    alone, m = lattice.sample(pa.array(texts[1:]), np.arange(1, len(texts)))
+    assert n[1:].tolist() == m.tolist() and np.array_equal(ids[n[0] :], alone)
+
+
+def test_long_stretches_window_by_window(lattice):
+    """Windows give the segmentations that filtering in one go gives."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ACGT", k=k)) for k in (500, 801, 2000, 3001)] * 2 + ["x" * 3000, "é" * 900 + "ACGT" * 300 + "😀漢" * 200, " " * 2000 + "a b", "=" * 1500 + "ab" * 700]
+    whole, cut = (copy.copy(lattice) for _ in range(2))
+    whole.part, cut.part = 1 << 20, 4 * lattice.longest
+    assert max(map(len, texts)) > 5 * cut.part
+    for a, b in zip(whole.sample(pa.array(texts), np.arange(len(texts))), cut.sample(pa.array(texts), np.arange(len(texts)))):
+        assert a.tolist() == b.tolist()
+
+
 def test_pieces_round_trip(spark, odd, empty):
     enc = pieces.encode(odd).persist()
     assert all(r["lossless"] for r in enc.collect())
