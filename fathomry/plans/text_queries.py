@@ -18,9 +18,8 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
-def _counts(spark, sf, low=1, high=1):
-    """Used more than once by what follows, and costly: kept."""
-    return X.term_counts(_docs(spark, sf), low, high).persist()
+def _vocabulary(spark, sf, low=1, high=1):
+    return X.top_terms(X.term_sums(_docs(spark, sf), low, high, key="doc_id"), TOP)
 
 
 def doc_length_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,24 +28,23 @@ def doc_length_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bow_vocab_topk(spark, sf):
-    v = X.vocabulary(X.term_counts(_docs(spark, sf)))
-    return v.select("term", (F.row_number().over(Window.orderBy("term")) - 1).cast("long").alias("idx"), "ctf", "df")
+    return _vocabulary(spark, sf).select("term", (F.row_number().over(Window.orderBy("term")) - 1).cast("long").alias("idx"), "ctf", "df")
 
 
 def bow_counts(spark, sf):
-    counts = _counts(spark, sf)
-    return counts.join(X.vocabulary(counts, TOP).select("term"), "term").select("doc_id", "term", "tf")
+    counts = X.term_counts(_docs(spark, sf))
+    return counts.join(F.broadcast(_vocabulary(spark, sf).select("term")), "term").select("doc_id", "term", "tf")  # TOP rows
 
 
 def bigram_vocab(spark, sf):
-    return X.vocabulary(X.term_counts(_docs(spark, sf), 1, 2), TOP)
+    return _vocabulary(spark, sf, 1, 2)
 
 
 def tfidf_weights(spark, sf):
-    docs, counts = _docs(spark, sf), _counts(spark, sf)
+    docs, counts = _docs(spark, sf), X.term_counts(_docs(spark, sf))
     n = docs.agg(F.count("*").alias("n_docs"))
-    vocab = X.vocabulary(counts).crossJoin(F.broadcast(n))
-    raw = counts.join(vocab, "term").select("doc_id", "term", (F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w"))
+    vocab = _vocabulary(spark, sf).crossJoin(F.broadcast(n))
+    raw = counts.join(F.broadcast(vocab), "term").select("doc_id", "term", (F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return raw.select("doc_id", "term", F.round(F.col("w") / norm, 6).alias("weight"))
 
@@ -54,7 +52,7 @@ def tfidf_weights(spark, sf):
 def top_class_terms(spark, sf):
     """The 20 terms of the greatest and of the least difference of class means of counts (toxic against clean)."""
     labels = table(spark, sf, "labels").where("toxic in (0, 1)").select("doc_id", "toxic")
-    counts = _counts(spark, sf).join(labels, "doc_id")
+    counts = X.term_counts(_docs(spark, sf)).persist().join(labels, "doc_id")
     vocab = X.vocabulary(counts, TOP).select("term")
     n = labels.join(_docs(spark, sf), "doc_id", "left_semi").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
     sums = counts.join(vocab, "term").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("tf")).otherwise(0)).alias("t1"), F.sum(F.when(F.col("toxic") == 0, F.col("tf")).otherwise(0)).alias("t0"))
@@ -72,7 +70,7 @@ def majority_baseline(spark, sf):
 
 def perplexity_unigram(spark, sf):
     """exp of the mean, least and greatest token loss under the corpus's unigram model."""
-    counts = _counts(spark, sf)
+    counts = X.term_counts(_docs(spark, sf)).persist()
     total = counts.agg(F.sum("tf").alias("total"))
     loss = counts.groupBy("term").agg(F.sum("tf").alias("ctf")).crossJoin(F.broadcast(total)).select("term", (-F.log(F.col("ctf") / F.col("total"))).alias("loss"))
     per = counts.join(loss, "term").groupBy("doc_id").agg((F.sum(F.col("tf") * F.col("loss")) / F.sum("tf")).alias("mean"), F.min("loss").alias("lo"), F.max("loss").alias("hi"))
