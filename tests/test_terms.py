@@ -50,3 +50,24 @@ def test_bigrams_of_a_long_text_are_linear(spark):
     docs = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("text"))
     assert docs.select(F.size(X.ngrams(X.tokens(F.col("text")), 1, 2))).first()[0] == 59_999
     assert X.term_sums(docs, 1, 2, key="doc_id").count() == 59_999
+
+
+def _written(df, path):
+    df.write.parquet(str(path))
+    return df
+
+
+def test_class_terms_move_no_counts(spark, tmp_path):
+    """Repeated documents and labels count as in SQL; nothing is grouped by document and term."""
+    import duckdb
+
+    from fathomry.plans import text_queries as T
+
+    _written(spark.createDataFrame([(1, "aa bb bb"), (1, "aa cc"), (2, "bb dd"), (3, "zz"), (None, "aa"), (4, None)], "doc_id long, text string"), tmp_path / "documents.parquet")
+    _written(spark.createDataFrame([(1, 0, 1), (2, 0, 0), (2, 0, 0), (4, 0, 1), (3, 0, 2), (9, 1, 0)], "doc_id long, quality int, toxic int"), tmp_path / "labels.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = T.top_class_terms(spark, str(tmp_path))
+    assert "doc_id" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x)
+    assert sorted(map(tuple, got.collect())) == sorted(c.sql(T.SQL["top_class_terms"]).fetchall())
