@@ -71,3 +71,23 @@ def test_class_terms_move_no_counts(spark, tmp_path):
     got = T.top_class_terms(spark, str(tmp_path))
     assert "doc_id" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x)
     assert sorted(map(tuple, got.collect())) == sorted(c.sql(T.SQL["top_class_terms"]).fetchall())
+
+
+@pytest.mark.parametrize("strategy", ["mean", "last_token", "first_token"])
+def test_pooled_in_the_source(spark, strategy):
+    """What a source pools itself is what its tokens give, and no vector of a token is shuffled."""
+    from fathomry.functions import pooling as P
+    from fathomry.operators.probe import LinearProbe
+    from fathomry.sources.activations import HashSource, with_hash
+
+    prompts = with_hash(spark.createDataFrame([(1, "a b  c a"), (2, ""), (3, None), (4, "  x\ty"), (5, "a b  c a")], "prompt_id long, text string"))
+    source = HashSource(layers=3, width=4)
+    got = LinearProbe(source, pooling=strategy)._vectors(prompts, [2, 0], strategy)
+    wanted = prompts.select("prompt_hash", "text").distinct().withColumn("layer", F.explode(F.array(F.lit(0), F.lit(2))))
+    tokens = prompts.select("prompt_id", "prompt_hash").join(source.extract(wanted), "prompt_hash").drop("prompt_hash")
+    key = lambda r: (r["prompt_id"], r["layer"])
+    want = {key(r): r["vec"] for r in P.pool(tokens, strategy, ["prompt_id", "layer"]).collect()}
+    assert {key(r) for r in got.collect()} == want.keys() and len(want) == 8
+    for r in got.collect():
+        assert r["vec"] == pytest.approx(want[key(r)], abs=1e-12)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
