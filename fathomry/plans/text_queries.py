@@ -12,6 +12,8 @@ from ..sources import cache
 from .tables import table
 
 TOP = 10_000
+#: perplexity_unigram: the most terms whose losses are in a table of each worker.
+FREQUENT = 400_000
 
 
 def _docs(spark, sf):
@@ -69,12 +71,19 @@ def majority_baseline(spark, sf):
 
 
 def perplexity_unigram(spark, sf):
-    """exp of the mean, least and greatest token loss under the corpus's unigram model."""
-    counts = X.term_counts(_docs(spark, sf)).persist()
-    total = counts.agg(F.sum("tf").alias("total"))
-    loss = counts.groupBy("term").agg(F.sum("tf").alias("ctf")).crossJoin(F.broadcast(total)).select("term", (-F.log(F.col("ctf") / F.col("total"))).alias("loss"))
-    per = counts.join(loss, "term").groupBy("doc_id").agg((F.sum(F.col("tf") * F.col("loss")) / F.sum("tf")).alias("mean"), F.min("loss").alias("lo"), F.max("loss").alias("hi"))
-    out = _docs(spark, sf).select("doc_id").join(per, "doc_id", "left")
+    """exp of the mean, least and greatest token loss under the corpus's unigram model.
+
+    Terms of a share of 1 / FREQUENT at least, FREQUENT at most, are in a table of the workers, which sum them up by text; the others are joined.
+    """
+    docs = _docs(spark, sf)
+    sums = X.term_sums(docs).select("term", "ctf").persist()
+    total = sums.agg(F.sum("ctf")).first()[0] or 0
+    loss = sums.select("term", "ctf", (-F.log(F.col("ctf") / F.lit(total).cast("long"))).alias("loss"))
+    frequent = loss.where((F.col("ctf") * F.lit(FREQUENT) >= total) & (F.length("term") <= 64)).select("term", "loss").toArrow()
+    rows = X.known_losses(docs, dict(zip(*(frequent.column(c).to_pylist() for c in ("term", "loss")))))
+    each = rows.join(loss.select("term", "loss"), "term", "left").select("doc_id", F.coalesce("s", F.col("n") * F.col("loss")).alias("s"), "n", F.coalesce("lo", "loss").alias("lo"), F.coalesce("hi", "loss").alias("hi"))
+    per = each.groupBy("doc_id").agg((F.sum("s") / F.sum("n")).alias("mean"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    out = docs.select("doc_id").join(per, "doc_id", "left")
     return out.select("doc_id", *[F.round(F.coalesce(F.exp(c), F.lit(1.0)), 4).alias(n) for c, n in (("mean", "mean_ppl"), ("lo", "min_ppl"), ("hi", "max_ppl"))])
 
 

@@ -91,3 +91,19 @@ def test_pooled_in_the_source(spark, strategy):
     for r in got.collect():
         assert r["vec"] == pytest.approx(want[key(r)], abs=1e-12)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("frequent", [1, 7, 400_000])
+def test_perplexity_with_and_without_a_table(spark, tmp_path, monkeypatch, frequent):
+    """Terms of the table and joined ones give SQL's figures; only the rare ones are rows of a join."""
+    import duckdb
+
+    from fathomry.plans import text_queries as T
+
+    monkeypatch.setattr(T, "FREQUENT", frequent)
+    rows = [(1, "aa bb bb cc"), (1, "aa aa dd"), (2, "ee " * 9 + "aa"), (3, ""), (4, None), (None, "aa bb"), (5, "gg " + "h" * 80)]
+    docs = _written(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path / "documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, T.perplexity_unigram(spark, str(tmp_path)).collect()))) == sorted(map(str, c.sql(T.SQL["perplexity_unigram"]).fetchall()))
+    assert X.known_losses(docs, {"aa": 1.0, "bb": 2.0}).where("s is null").count() == 5
