@@ -54,7 +54,7 @@ def tfidf_weights(spark, sf):
 def top_class_terms(spark, sf):
     """The 20 terms of the greatest and of the least difference of class means of counts (toxic against clean)."""
     labels = table(spark, sf, "labels").where("toxic in (0, 1)").select("doc_id", "toxic")
-    sums = X.term_sums(_docs(spark, sf).join(labels, "doc_id"), by="toxic")
+    sums = X.term_sums(_docs(spark, sf).join(labels, "doc_id"), by="toxic", df=False)
     by_class = [F.sum(F.when(F.col("toxic") == c, F.col("ctf")).otherwise(0)).alias(f"t{c}") for c in (1, 0)]
     top = sums.groupBy("term").agg(*by_class).orderBy(F.desc(F.col("t1") + F.col("t0")), "term").limit(TOP)
     n = labels.join(_docs(spark, sf), "doc_id", "left_semi").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
@@ -76,7 +76,7 @@ def perplexity_unigram(spark, sf):
     Terms of a share of 1 / FREQUENT at least, FREQUENT at most, are in a table of the workers, which sum them up by text; the others are joined.
     """
     docs = _docs(spark, sf)
-    sums = X.term_sums(docs).select("term", "ctf").persist()
+    sums = X.term_sums(docs, df=False).select("term", "ctf").persist()
     total = sums.agg(F.sum("ctf")).first()[0] or 0
     loss = sums.select("term", "ctf", (-F.log(F.col("ctf") / F.lit(total).cast("long"))).alias("loss"))
     frequent = loss.where((F.col("ctf") * F.lit(FREQUENT) >= total) & (F.length("term") <= 64)).select("term", "loss").toArrow()

@@ -107,3 +107,12 @@ def test_perplexity_with_and_without_a_table(spark, tmp_path, monkeypatch, frequ
     c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(str, map(tuple, T.perplexity_unigram(spark, str(tmp_path)).collect()))) == sorted(map(str, c.sql(T.SQL["perplexity_unigram"]).fetchall()))
     assert X.known_losses(docs, {"aa": 1.0, "bb": 2.0}).where("s is null").count() == 5
+
+
+def test_baselines_need_no_counts_by_prompt(spark, monkeypatch):
+    from fathomry.operators.baselines import BaselineProbe
+
+    monkeypatch.setattr(X, "term_counts", None)
+    prompts = spark.createDataFrame([(1, "aa bb bb", 1), (2, "aa cc", 0), (3, "", 0), (4, "bb dd", 1)], "prompt_id long, text string, label int")
+    b = BaselineProbe("tfidf", classifier="mass_mean", max_features=3).fit(prompts)
+    assert b.feature_names() == ["aa", "bb", "cc"] and b.idf_ == pytest.approx([1 + 0.5108256237659907, 1 + 0.5108256237659907, 1 + 0.9162907318741551])
